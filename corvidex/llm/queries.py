@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corvidex.llm import packing, secret_scan, token_counts, toxicity
+from corvidex.llm import decontamination, jaccard_join, license_scan, packing, quality_rules, secret_scan, token_counts, toxicity, url_filters
 from corvidex.llm._session import table
 from corvidex.llm.line_dedup import dedup_lines
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(documents, labels.where(~toxicity.held_out(F.col("doc_id"))))
@@ -28,12 +32,24 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed_lines", "n_removed_words")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), packing.PackingParams(_tokenizer("word_bpe_49k.json")))
+    return packing.pack(table(spark, sf_dir, "documents"), packing.PackingParams(tokenizer_path("word_bpe_49k.json")))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), "source").drop("n_removed_words")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.TokenCountParams(_tokenizer("byte_bpe_50k.json")))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.TokenCountParams(tokenizer_path("byte_bpe_50k.json")))
 
 
 def _of_kind(kind: str) -> Callable[[Column], Column]:
@@ -49,8 +65,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_line_dedup, op5_packing, op8_token_counts, op9_secret_scan)}
+    found = (op1_url_filters, op2_toxicity, op3_line_dedup, op4_decontamination, op5_packing, op6_jaccard_join, op7_quality_rules, op8_token_counts, op9_secret_scan, op10_license_scan)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,7 +32,7 @@ class ToxicityParams:
     hash_bits: int = 20
     features: int = 32768  # kept: those of the largest |ratio| * sqrt(documents)
     min_documents: int = 3
-    train_rows: int = 4000  # bound of the labelled sample that the classifier is fitted on
+    train_rows: int = 8000  # bound of the labelled sample that the classifier is fitted on
     steps: int = 100
     ridge: float = 0.1  # over the number of rows
     threshold: float = 0.3
@@ -173,9 +173,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``documents`` with ``score`` and ``predicted`` in place of any columns of those names."""
-    kept = [c for c in documents.columns if c.lower() not in ("score", "predicted")]
+def score(documents: DataFrame, model: ToxicityModel, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``documents`` with a score and a prediction in place of any columns of those names."""
+    kept = [c for c in documents.columns if c.lower() not in names]
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
             n = len(texts)
             norm = np.sqrt(np.maximum(np.bincount(row, m.ratio[feature] ** 2, n), 1e-12))
             s = _sigmoid(np.bincount(row, m.weight[feature], n) / norm + m.bias)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= m.params.threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= m.params.threshold).astype(np.int32))], [*b.schema.names, *names])
 
-    schema = documents.select(*kept).schema.add("score", "double").add("predicted", "integer")
+    schema = documents.select(*kept).schema.add(names[0], "double").add(names[1], "integer")
     return documents.select(*kept).mapInArrow(run, schema)
