@@ -75,4 +75,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of line dedup and quality rules; the other methods are tested against brute force."""
+    return {"op3_line_dedup": _LINE_DEDUP_SQL, "op7_quality_rules": _QUALITY_SQL}
+
+
+_WORDS_SQL = r"list_filter(regexp_split_to_array({x}, '[\x20\x09-\x0D]+'), lambda y: y <> '')"
+
+_LINE_DEDUP_SQL = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents),
+w AS (SELECT *, len({_WORDS_SQL.format(x='content')}) AS words FROM l),
+b AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) - words AS before FROM w WHERE words > 0),
+f AS (SELECT doc_id, line, array_to_string(list(content) OVER r, chr(10)) AS held, list(line) OVER r AS places, sum(words) OVER r AS reach, max(line) OVER r AS last
+ FROM b WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+k AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY doc_id, line) AS rn, first_value(doc_id) OVER (PARTITION BY held ORDER BY doc_id, line) AS fd, first_value(last) OVER (PARTITION BY held ORDER BY doc_id, line) AS fl FROM f WHERE reach >= 50),
+m AS (SELECT DISTINCT doc_id, p AS line FROM (SELECT doc_id, fd, fl, unnest(places) AS p FROM k WHERE rn > 1) WHERE doc_id <> fd OR p > fl),
+c AS (SELECT w.*, m.line IS NOT NULL AS gone FROM w LEFT JOIN m USING (doc_id, line)),
+t AS (SELECT doc_id, coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (NOT gone), '') AS text, count(*) AS n, count(*) FILTER (gone) AS n_removed_lines, coalesce(sum(words) FILTER (gone), 0) AS n_removed_words FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.text, d.text) AS text, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE t.n END AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines, CAST(coalesce(n_removed_words, 0) AS BIGINT) AS n_removed_words FROM documents d LEFT JOIN t USING (doc_id)"""
+
+_QUALITY_SQL = rf"""WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, host, text, {_WORDS_SQL.format(x='text')} AS w FROM d),
+g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g) WHERE n > 1),
+v AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+l AS (SELECT doc_id, host, x, len({_WORDS_SQL.format(x='x')}) AS n FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS x FROM d)),
+own AS (SELECT * FROM l WHERE n > 0),
+u AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM own GROUP BY doc_id),
+h AS (SELECT doc_id, host, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS h, sum(n) AS n FROM own GROUP BY ALL),
+lim AS (SELECT host, greatest(100, ceil(count(*) * 0.01)) AS most FROM d GROUP BY host),
+com AS (SELECT host, h FROM (SELECT host, h, count(*) AS docs FROM h GROUP BY ALL) JOIN lim USING (host) WHERE docs > most),
+rem AS (SELECT doc_id, sum(n) AS removed FROM h JOIN com USING (host, h) GROUP BY doc_id),
+s AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+ coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed, 0) AS removed FROM w LEFT JOIN u USING (doc_id) LEFT JOIN v USING (doc_id) LEFT JOIN rem USING (doc_id)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - removed >= 50 AND n_words - removed >= 0.5 * n_words AS kept FROM j"""
