@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -55,6 +57,36 @@ def corpus(chunk_lengths: DataFrame) -> DataFrame:
     return chunk_lengths.agg(F.count("*").alias("n_rows"), (F.sum("n_terms") / F.count("*")).alias("avg_terms"))
 
 
+@dataclass(frozen=True)
+class Index:
+    postings: DataFrame
+    lengths: DataFrame
+    corpus: DataFrame
+
+
+def index(chunks: DataFrame) -> Index:
+    size = lengths(chunks)
+    return Index(postings(chunks), size, corpus(size))
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """Write the index of ``chunks``: postings dealt and sorted by term, so that a query reads the row groups of its terms alone."""
+    made = index(chunks)
+    made.postings.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.mode("overwrite").parquet(f"{path}/postings")
+    made.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    corpus(chunks.sparkSession.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "corpus")))
+
+
+def restrict(posts: DataFrame, terms: Sequence[tuple[str, bool]]) -> DataFrame:
+    """The postings of a single query's (term, is_prefix), as a filter that reaches the Parquet scan."""
+    whole = F.col("term").isin([t for t, prefix in terms if not prefix])
+    return posts.where(reduce(or_, [F.col("term").startswith(t) for t, prefix in terms if prefix], whole))
+
+
 def compile_query(spark: SparkSession, queries: Mapping[int, str], params: SearchParams = SearchParams(), aliases: Mapping = fixed.ALIASES) -> DataFrame:
     """(qid, term, is_prefix) of query texts: normalized words, aliases, and prefixes for long Cyrillic words.
 
@@ -151,10 +183,10 @@ def rank_results(hits: DataFrame, params: SearchParams = SearchParams()) -> Data
     return _first(top, params.limit, ["qid"], order, "pos").drop("pre")
 
 
-def search(chunks: DataFrame, documents: DataFrame, terms: DataFrame, filters: Filters = Filters(), params: SearchParams = SearchParams()) -> DataFrame:
-    """Ranked, capped hits of every query, with the chunk's and the document's columns."""
-    size = lengths(chunks)
-    scored = bm25(match(postings(chunks), terms), size, corpus(size), params)
+def search(chunks: DataFrame, documents: DataFrame, terms: DataFrame, filters: Filters = Filters(), params: SearchParams = SearchParams(), held: Index | None = None) -> DataFrame:
+    """Ranked, capped hits of every query, with the chunk's and the document's columns; ``held`` is a written index of ``chunks``."""
+    held = held or index(chunks)
+    scored = bm25(match(held.postings, terms), held.lengths, held.corpus, params)
     return rank_results(apply_filters(with_details(scored, chunks, documents), filters), params)
 
 

@@ -135,6 +135,15 @@ def search_prefix(spark, sf_dir):
     return _hits(s.search(chunks, docs, _words(spark, _STEMS, True)))
 
 
+_ALIASED = "SELECT * FROM (VALUES (0, 'attion', false), (0, 'thanedble', false)) t(qid, term, is_prefix)"
+
+
+@_query(f"WITH {_scored(_ALIASED)}, {_ranked("kind <> 'meta' ")} {_HIT_SQL}")
+def search_alias(spark, sf_dir):
+    chunks, docs = _data(spark, sf_dir)
+    return _hits(s.search(chunks, docs, s.compile_query(spark, {0: "ATTION, 12!"}, aliases={"attion": ["thanedble"]})))
+
+
 _ITEMS_SQL = rf"SELECT DISTINCT item_id AS qid, term, false AS is_prefix FROM (SELECT item_id, unnest({_terms('text')}) AS term FROM benchmark) WHERE NOT regexp_matches(term, '^[0-9]+$')"
 
 
@@ -401,6 +410,23 @@ def chunk_tags(spark, sf_dir):
     return c.select("document_id", "chunk_no", tx.tags([F.col("heading"), F.col("section_path"), F.col("kind")]).alias("tags"))
 
 
+_LEVELS = ", ".join(f"max(CASE WHEN h AND level = {k} THEN pos END) OVER w AS p{k}, last_value(CASE WHEN h AND level = {k} THEN content END IGNORE NULLS) OVER w AS t{k}" for k in (1, 2, 3))
+
+
+@_query(
+    f"""WITH {_CHUNKS}, b AS (SELECT document_id, chunk_no AS pos, chunk_no % 4 = 0 AS h, 1 + (chunk_no // 4) % 3 AS level, left(text, 20) AS content FROM chunks),
+x AS (SELECT *, {_LEVELS} FROM b WINDOW w AS (PARTITION BY document_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+y AS (SELECT document_id, pos, content, t1 AS a, CASE WHEN p2 > coalesce(p1, -1) THEN t2 END AS b, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN t3 END AS c FROM x WHERE NOT h)
+SELECT document_id, pos, content, concat_ws(' > ', a, b, c) AS section_path, coalesce(c, b, a) AS heading FROM y"""
+)
+def section_paths(spark, sf_dir):
+    """Lines as blocks: every fourth line is a heading of level 1 to 3."""
+    c = corpus.chunks(spark, sf_dir)
+    n = F.col("chunk_no")
+    blocks = c.select("document_id", n.alias("pos"), F.when(n % 4 == 0, "heading").otherwise("paragraph").alias("type"), (1 + F.floor(n / 4) % 3).alias("level"), F.left("text", F.lit(20)).alias("content"))
+    return ingest.section_paths(blocks).select("document_id", "pos", "content", "section_path", "heading")
+
+
 def _changed(docs: DataFrame) -> DataFrame:
     return docs.where("document_id % 3 = 0").withColumns({"document_id": F.when(F.col("document_id") % 2 == 0, F.col("document_id")).otherwise(-F.col("document_id")), "category": F.lit("new")})
 

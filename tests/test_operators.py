@@ -100,6 +100,17 @@ def test_retrieve_with_neighbours_and_text(spark, small):
     assert {r.raw_text for r in found.full_text.collect()} == {"raw"} and found.documents.first().group_pos == 1
 
 
+def test_written_index_answers_alike_and_is_pruned(spark, small, tmp_path):
+    chunks, docs = small
+    s.write_index(chunks, str(tmp_path))
+    held = s.read_index(spark, str(tmp_path))
+    request = retrieval.Request("температура живот")
+    fresh, stored = (sorted(map(tuple, retrieval.retrieve(chunks, docs, request, h).chunks.collect())) for h in (None, held))
+    assert fresh == stored and fresh
+    plan = s.restrict(held.postings, [("живот", False), ("темпер", True)])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(In(term, [живот])" in plan or "PushedFilters: [Or(EqualTo(term,живот)" in plan
+
+
 def test_catalog(spark, small):
     chunks, docs = small
     assert {r.document_id: r.sections for r in catalog.list_docs(docs, chunks, 3).collect()} == {"d1": ["жалобы"], "d2": ["осмотр"], "d3": ["intro"]}
