@@ -37,7 +37,7 @@ class PackingParams:
     end_id: int = 2
     capacity: int = 4096
     fill: float = 0.98
-    memo: int = 400_000  # distinct chunks remembered by a worker at most
+    memo: int = 800_000  # distinct chunks remembered by a worker at most
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, sequence_id long, offset long"
@@ -47,33 +47,49 @@ _PLAIN = regex.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 class ChunkIds:
-    """ids of texts, looked up by chunk between spaces and line ends, where this kind of tokenizer never joins."""
+    """ids of texts, looked up by chunk between spaces and line ends, where this kind of tokenizer never joins.
+
+    Most chunks are plain letters with closing marks; their lower-cased letters
+    and their marks go to the tokenizer's model as they are, in its byte
+    alphabet. Any other chunk goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str, memo: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.limit = Tokenizer.from_file(path), {}, memo
-        probe = self.tokenizer.encode("AbÉ, AbÉ", add_special_tokens=False).tokens
-        self.by_space = len(probe) % 2 == 1 and self._one("x y\nz") == self._one("x") + self._one("y") + self._one("z")
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        probe = ("abcé", "ßçñ", ",.", "!?)", "x")
+        self.by_space = self._whole("Xy Éa, b.\nz") == b"".join(map(self._whole, ("xy", "éa", ",", "b", ".", "z"))) and all(self._piece(p) == self._whole(p) for p in probe)
 
-    def _one(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, text: str) -> bytes:
+        letters = text.encode().decode("latin-1").translate(self.alphabet)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+
+    def _known(self, piece: str) -> bytes:
+        if (ids := self.memo.get(piece)) is None:
+            ids = self.memo[piece] = self._piece(piece)
+        return ids
+
     def _fill(self, chunks: set[str]) -> None:
-        memo, parts = self.memo, {}
-        plain = {c: m for c in chunks if (m := _PLAIN.fullmatch(c))}
-        want = {x for m in plain.values() for x in (m[1].lower(), m[2])} | {c for c in chunks if c not in plain}
-        want = [w for w in want if w and w not in memo]
-        for w, e in zip(want, self.tokenizer.encode_batch(want, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-        for c, m in plain.items():
-            parts[c] = memo[m[1].lower()] + (memo[m[2]] if m[2] else b"")
-        memo.update(parts)
+        other = []
+        for c in chunks:
+            if m := _PLAIN.fullmatch(c):
+                self.memo[c] = self._known(m[1].lower()) + (self._known(m[2]) if m[2] else b"")
+            else:
+                other.append(c)
+        for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.memo[c] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_space:
-            return [self._one(t) for t in texts]
+            return [self._whole(t) for t in texts]
         if len(self.memo) > self.limit:
             self.memo.clear()
         self.memo[""] = b""
