@@ -42,6 +42,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values, by sorting; far faster here than numpy's hashing."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SEGMENT) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) for consecutive rows of about ``limit`` characters; null is empty."""
     first, held, size = 0, [], 0

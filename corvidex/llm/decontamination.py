@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corvidex.llm._text import SHINGLE_WORDS, mix, slices, word_hashes
+from corvidex.llm._text import SHINGLE_WORDS, distinct, mix, slices, word_hashes
 
 _U = np.uint64
 
@@ -148,7 +148,7 @@ def retrieve(words: np.ndarray, rows: np.ndarray, shard: _Shard, params: Deconta
     before = stretch > 0
     before[before] = text_of[stretch[before] - 1] == text_of[stretch[before]]
     size = len(shard.terms)
-    key = np.unique(np.concatenate([stretch * size + term, (stretch[before] - 1) * size + term[before]]))
+    key = distinct(np.concatenate([stretch * size + term, (stretch[before] - 1) * size + term[before]]))
     passage, term = key // size, key % size
     if not len(key):
         return []

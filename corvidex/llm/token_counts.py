@@ -33,7 +33,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 @dataclass(frozen=True)
 class TokenCountParams:
     tokenizer: str  # path of a byte-level tokenizer file, readable on every executor
-    head: int = 150_000  # pre-tokens broadcast at most
+    head: int = 200_000  # pre-tokens broadcast at most
     max_head_chars: int = 40  # longer pre-tokens are joined by shuffle, which bounds the broadcast
     limit: int = 1024
     memo: int = 300_000  # distinct chunks remembered by a worker at most
@@ -123,18 +123,30 @@ def piece_counts(pretokens: DataFrame, params: TokenCountParams) -> DataFrame:
     return pretokens.mapInArrow(run, "pretoken string, n long, pieces long")
 
 
+def _head(pieces: DataFrame, params: TokenCountParams) -> dict[str, int]:
+    """The most frequent pre-tokens with their pieces: all above the frequency that leaves at most ``head``.
+
+    The frequency comes from a histogram of a bounded number of steps, so that
+    the driver receives no more than the head itself.
+    """
+    short = pieces.where(F.length("pretoken") <= params.max_head_chars).withColumn("step", F.floor(F.log2("n") * 32))
+    total, least = 0, None
+    for r in sorted(short.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
+        total += r["words"]
+        if total > params.head:
+            break
+        least = r["step"]
+    if least is None:
+        return {}
+    head = short.where(F.col("step") >= least).select("pretoken", "pieces").toArrow()
+    return dict(zip(head["pretoken"].to_pylist(), head["pieces"].to_pylist(), strict=True))
+
+
 def count_tokens(documents: DataFrame, params: TokenCountParams) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row of ``documents``."""
     spark = documents.sparkSession
     pieces = cut(piece_counts(count_pretokens(documents, params), params))
-    head = dict(
-        pieces.where(F.length("pretoken") <= params.max_head_chars)
-        .orderBy(F.desc("n"), "pretoken")
-        .limit(params.head)
-        .select("pretoken", "pieces")
-        .toPandas()
-        .itertuples(index=False, name=None)
-    )
+    head = _head(pieces, params)
     known = spark.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,18 +17,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corvidex.llm._text import mix
+from corvidex.llm._session import cut
+from corvidex.llm._text import distinct, mix
 
 _U = np.uint64
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    orders: tuple[int, ...] = (4, 5, 6)
+    orders: tuple[int, ...] = (5, 6, 7)
     hash_bits: int = 20
     features: int = 32768  # kept: those of the largest |ratio| * sqrt(documents)
     min_documents: int = 3
@@ -85,8 +85,8 @@ def _present(texts: list[str], params: ToxicityParams, slot: np.ndarray | None)
                 if slot is not None:
                     bucket = slot[bucket].astype(np.int64)
                     keep &= bucket >= 0
-                found.append(np.unique(row[keep] * width + bucket[keep]))
-    key = np.unique(np.concatenate(found))
+                found.append(row[keep] * width + bucket[keep])
+    key = distinct(np.concatenate(found))
     return key // width, key % width
 
 
@@ -103,7 +103,7 @@ def _sample(documents: DataFrame, labels: DataFrame, params: ToxicityParams) ->
 
 
 def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    sample = _sample(documents, labels, params)
+    sample = cut(_sample(documents, labels, params))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << params.hash_bits), np.int64)
@@ -132,11 +132,11 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
         .select("bucket", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt(F.col("clean") + F.col("toxic"))).alias("gain"))
         .orderBy(F.desc("gain"), "bucket")
         .limit(params.features)
-        .toPandas()
+        .toArrow()
     )
     slot = np.full(size, -1, np.int32)
-    slot[chosen["bucket"].to_numpy(np.int64)] = np.arange(len(chosen), dtype=np.int32)
-    ratios = chosen["ratio"].to_numpy(float)
+    slot[chosen["bucket"].to_numpy()] = np.arange(len(chosen), dtype=np.int32)
+    ratios = chosen["ratio"].to_numpy()
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,23 +144,30 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
             lists = np.split(feature.astype(np.int32), np.searchsorted(row, np.arange(1, b.num_rows)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "toxic", "features"])
 
-    rows = sample.mapInArrow(present, "doc_id long, toxic int, features array<int>").toPandas().sort_values("doc_id", kind="stable")
+    rows = sample.mapInArrow(present, "doc_id long, toxic int, features array<int>").toArrow().sort_by("doc_id")
     weight, bias = _logistic(rows, ratios, params)
     return ToxicityModel(params, slot, weight * ratios, ratios, bias)
 
 
-def _logistic(rows: pd.DataFrame, ratios: np.ndarray, params: ToxicityParams) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Adam on the bounded sample's sparse rows."""
-    y, n = rows["toxic"].to_numpy(float), len(rows)
-    at = np.repeat(np.arange(n), [len(f) for f in rows["features"]])
-    feature = np.concatenate([*rows["features"], np.zeros(0, np.int32)]).astype(np.int64)
-    value = ratios[feature]
-    value = value / np.sqrt(np.maximum(np.bincount(at, value * value, n), 1e-12))[at]
+def _logistic(rows: pa.Table, ratios: np.ndarray, params: ToxicityParams) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Adam on the bounded sample's sparse rows, block by block of rows."""
+    y, n = rows["toxic"].to_numpy().astype(float), rows.num_rows
+    blocks = []
+    for lo in range(0, n, 500):
+        lists = rows["features"].slice(lo, 500).combine_chunks()
+        feature = lists.flatten().to_numpy().astype(np.int32)
+        at = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+        value = ratios[feature]
+        value /= np.sqrt(np.maximum(np.bincount(at, value * value, len(lists)), 1e-12))[at]
+        blocks.append((y[lo : lo + 500], at, feature, value.astype(np.float32)))
     w, b = np.zeros(len(ratios)), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, params.steps + 1):
-        miss = (_sigmoid(np.bincount(at, value * w[feature], n) + b) - y) / n
-        g, gb = np.bincount(feature, value * miss[at], len(w)) + params.ridge * w / n, float(miss.sum())
+        g, gb = params.ridge * w / n, 0.0
+        for labels, at, feature, value in blocks:
+            miss = (_sigmoid(np.bincount(at, value * w[feature], len(labels)) + b) - labels) / n
+            g += np.bincount(feature, value * miss[at], len(w))
+            gb += float(miss.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, c = 1 - 0.9**step, 1 - 0.99**step
