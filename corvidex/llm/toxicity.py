@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corvidex.llm._session import cut
-from corvidex.llm._text import distinct, mix
+from corvidex.llm._text import distinct, mix, slices
 
 _U = np.uint64
 
@@ -73,7 +73,7 @@ def _present(texts: list[str], params: ToxicityParams, slot: np.ndarray | None)
     width = int(slot.max()) + 2 if slot is not None else 1 << params.hash_bits
     found = [np.zeros(0, np.int64)]
     for points, rows in _runs(texts, 1 << 18, max(params.orders) - 1):
-        value = np.zeros(len(points), _U)
+        value, here = np.zeros(len(points), _U), [found[0]]
         for n in range(1, max(params.orders) + 1):
             if len(points) < n:
                 break
@@ -85,7 +85,8 @@ def _present(texts: list[str], params: ToxicityParams, slot: np.ndarray | None)
                 if slot is not None:
                     bucket = slot[bucket].astype(np.int64)
                     keep &= bucket >= 0
-                found.append(row[keep] * width + bucket[keep])
+                here.append(row[keep] * width + bucket[keep])
+        found.append(distinct(np.concatenate(here)))
     key = distinct(np.concatenate(found))
     return key // width, key % width
 
@@ -110,10 +111,11 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
         docs = np.zeros(2, np.int64)
         for b in batches:
             toxic = b.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-            row, bucket = _present([t or "" for t in b.column("text").to_pylist()], params, None)
-            for y in (0, 1):
-                total[y] += np.bincount(bucket[toxic[row] == y], minlength=total.shape[1])
-                docs[y] += int((toxic == y).sum())
+            docs += np.bincount(toxic, minlength=2)
+            for lo, texts in slices(b, "text"):
+                row, bucket = _present(texts, params, None)
+                for y in (0, 1):
+                    total[y] += np.bincount(bucket[toxic[lo + row] == y], minlength=total.shape[1])
         some = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_pydict({"bucket": np.append(some, -1), "clean": np.append(total[0][some], docs[0]), "toxic": np.append(total[1][some], docs[1])})
 
@@ -140,8 +142,10 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, feature = _present([t or "" for t in b.column("text").to_pylist()], params, slot)
-            lists = np.split(feature.astype(np.int32), np.searchsorted(row, np.arange(1, b.num_rows)))
+            lists: list[np.ndarray] = []
+            for _, texts in slices(b, "text"):
+                row, feature = _present(texts, params, slot)
+                lists += np.split(feature.astype(np.int32), np.searchsorted(row, np.arange(1, len(texts))))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "toxic", "features"])
 
     rows = sample.mapInArrow(present, "doc_id long, toxic int, features array<int>").toArrow().sort_by("doc_id")
@@ -188,11 +192,12 @@ def score(documents: DataFrame, model: ToxicityModel, names: tuple[str, str] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            row, feature = _present(texts, m.params, m.slot)
-            n = len(texts)
-            norm = np.sqrt(np.maximum(np.bincount(row, m.ratio[feature] ** 2, n), 1e-12))
-            s = _sigmoid(np.bincount(row, m.weight[feature], n) / norm + m.bias)
+            s = np.zeros(b.num_rows)
+            for lo, texts in slices(b, "text"):
+                row, feature = _present(texts, m.params, m.slot)
+                n = len(texts)
+                norm = np.sqrt(np.maximum(np.bincount(row, m.ratio[feature] ** 2, n), 1e-12))
+                s[lo : lo + n] = _sigmoid(np.bincount(row, m.weight[feature], n) / norm + m.bias)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= m.params.threshold).astype(np.int32))], [*b.schema.names, *names])
 
     schema = documents.select(*kept).schema.add(names[0], "double").add(names[1], "integer")
