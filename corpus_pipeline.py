@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvidex.llm import decontamination, jaccard_join, packing, toxicity
 from corvidex.llm._session import cut, table
-from corvidex.llm.line_dedup import dedup_lines
+from corvidex.llm.line_dedup import LineDedupParams, dedup_lines
 from corvidex.llm.queries import tokenizer_path
 
 ORACLE_SQL = None  # a fitted classifier, a forest and tokenized packing are beyond SQL; tests compare with brute force
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dedup_lines(docs, counts=False)
+    out = dedup_lines(docs, LineDedupParams(extend=True), counts=False)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 

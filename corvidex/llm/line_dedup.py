@@ -6,8 +6,13 @@ its fingerprint, so any two runs of that many equal words share a fingerprint.
 Fingerprints that occur once in the corpus end the search there. Around the
 others, windows are matched by what they hold before and after the fingerprint:
 of equal windows the first (by document id, then line) stays and later ones mark
-their lines. Overlapping marked windows make up the maximal repeated runs, which
-are deleted. A copy inside one document loses only lines behind its first copy.
+their lines, which are deleted. A copy inside one document loses only lines
+behind its first copy.
+
+A run may end in lines behind its last such window. With ``extend``, windows
+are also taken backwards, the shortest stretch that ends at each line; every
+line of a repeated run of ``min_words`` words stands in a window of either kind
+within the run, so marked windows make up the maximal repeated runs.
 
 Defined cases: null and empty texts come back unchanged with zero counts; blank
 lines count no words, are never marked and stay; rows with a repeated or null
@@ -26,6 +31,7 @@ from corvidex.llm._session import cut
 @dataclass(frozen=True)
 class LineDedupParams:
     min_words: int = 50
+    extend: bool = False  # also the lines of a repeated run behind its last full window
 
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -46,17 +52,23 @@ def repeated_lines(documents: DataFrame, params: LineDedupParams = LineDedupPara
     before = F.sum("words").over(doc.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
     # A window takes every line that starts less than min_words words after its own start.
     reach = doc.orderBy("before").rangeBetween(0, params.min_words - 1)
-    windows = (
-        lines.withColumn("before", before)
-        .select(
-            "doc_id", "row_key", "line", "words",
-            F.min("h").over(reach).alias("fingerprint"),
-            F.sum("words").over(reach).alias("reach_words"),
-            F.max("line").over(reach).alias("last"),
-            F.collect_list(F.struct("line", "h", "g", "words")).over(reach).alias("held"),
-        )
-        .where(F.col("reach_words") >= params.min_words)
-    )
+    # One taken backwards: every line that ends less than min_words words before its own end.
+    back = doc.orderBy("after").rangeBetween(1 - params.min_words, 0)
+
+    def window(over: Window) -> Column:
+        held = F.collect_list(F.struct("line", "h", "g", "words")).over(over)
+        return F.struct(F.min("line").over(over).alias("line"), F.max("line").over(over).alias("last"), F.min("h").over(over).alias("fingerprint"), F.sum("words").over(over).alias("reach_words"), held.alias("held"))
+
+    lines = lines.withColumn("before", before)
+    if params.extend:
+        lines = lines.withColumn("after", F.col("before") + F.col("words"))
+        both = lines.select("doc_id", "row_key", window(reach).alias("ahead"), window(back).alias("behind"))
+        # One that is also the shortest from its first line on is there already.
+        longer = F.aggregate(F.slice("behind.held", 1, F.size("behind.held") - 1), F.lit(0).cast("long"), lambda n, x: n + x["words"]) >= params.min_words
+        both = both.select("doc_id", "row_key", F.explode(F.when(longer, F.array("ahead", "behind")).otherwise(F.array("ahead"))).alias("x"))
+    else:
+        both = lines.select("doc_id", "row_key", window(reach).alias("x"))
+    windows = both.select("doc_id", "row_key", "x.*").where(F.col("reach_words") >= params.min_words)
     held = F.col("held")
     windows = cut(
         windows.select(

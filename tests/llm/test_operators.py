@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -151,6 +152,26 @@ def test_line_dedup_keeps_the_first_copy_inside_a_document(spark):
     assert dedup_lines(frame(spark, [(1, same_line)])).first().n_removed_lines == 4
 
 
+def test_extended_line_dedup_takes_whole_runs(spark):
+    tail = "\n".join([words(1, 60), words(2, 10), words(3, 20)])
+    rows = [(1, words(4, 5) + "\n" + tail + "\n" + words(5, 70)), (2, words(6, 5) + "\n" + tail + "\n" + words(7, 70)), (3, tail + "\n\n" + tail)]
+    r = random.Random(3)
+    pool = [words(100 + k, r.choice([1, 4, 10, 20, 30, 60])) for k in range(8)]
+    rows += [(10 + k, "\n".join(r.choice([*pool, "", words(1000 + 50 * k + j, 7)]) for j in range(12))) for k in range(40)]
+    seen, expected = {}, {}
+    for i, t in rows:
+        parts, gone = t.split("\n"), set()
+        lines = [(n, x, len(x.split())) for n, x in enumerate(parts) if x]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(w for _, _, w in lines[a:b]) >= 50:
+                    first, last = seen.setdefault(tuple(x for _, x, _ in lines[a:b]), (i, lines[b - 1][0]))
+                    gone |= {n for n, _, _ in lines[a:b] if first != i or n > last}
+        expected[i] = ("\n".join(x for n, x in enumerate(parts) if n not in gone), len(gone))
+    got = {x.doc_id: (x.text, x.n_removed_lines) for x in dedup_lines(frame(spark, rows), LineDedupParams(extend=True)).collect()}
+    assert got == expected and got[2][1] == 3 and got[3][1] == 6
+
+
 # 4 Decontamination
 
 

@@ -19,6 +19,13 @@ def test_stages_on_odd_documents(spark, tmp_path):
     assert packed == left
 
 
+def test_line_stage_drops_whole_runs(spark):
+    run = "\n".join([words(1, 60), words(2, 10), words(3, 20)])
+    docs = frame(spark, [(k, f"{words(10 + k, 70)}\n{run}\n{words(20 + k, 70)}") for k in (1, 2)])
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert left[2] == f"{words(12, 70)}\n{words(22, 70)}" and run in left[1]
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
