@@ -8,9 +8,13 @@ entry by that token alone, and the rule's other tokens are then looked up in the
 page's own. Pages that a given rule fits take that rule's verdict (the longest
 rule wins); the others are blocked if a mined rule fits, else allowed.
 
+A page's label is that of the document it shows, whose number is the last part
+of the url's path; page ids number pages, not documents.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path
-and no tokens, and is allowed unless a given rule fits; pages without a label
-are not mined; of a page's repeated labels the worst counts; without labelled
+and no tokens, and is allowed unless a given rule fits; pages without a label,
+or whose path ends in no number, are not mined; of a document's repeated labels
+the worst counts; without labelled
 pages nothing is mined; repeated rows are judged alike.
 """
 
@@ -47,6 +51,11 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def document(of_path: Column) -> Column:
+    """The number that ends the path, before any suffix, else null."""
+    return F.regexp_extract(of_path, r"/([0-9]+)(\.[A-Za-z]+)?/*$", 1).try_cast("long")
+
+
 def tokens(url: Column) -> Column:
     def parts(x: Column, by: str, kind: str) -> Column:
         return F.transform(F.filter(F.split(x, by, -1), lambda t: t != ""), lambda t: F.concat(F.lit(f"{kind}="), t))
@@ -67,10 +76,10 @@ def given_rule(rules: Mapping[str, str], of_host: Column, of_path: Column) -> Co
 
 
 def mine(pages: DataFrame, labels: DataFrame, params: UrlFilterParams) -> DataFrame:
-    """(antecedent, confidence, support) of rules that imply ``block``; ``pages`` has page_id and tokens."""
+    """(antecedent, confidence, support) of rules that imply ``block``; ``pages`` has path and tokens."""
     bad = F.max((F.coalesce("toxic", F.lit(0)) > 0) | (F.coalesce("quality", F.lit(1)) == 0))
     marked = labels.where("doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL)").groupBy("doc_id").agg(bad.alias("bad"))
-    labelled = pages.join(marked, F.col("page_id") == F.col("doc_id")).select(F.when(F.col("bad"), F.array_append("tokens", F.lit(_LABEL))).otherwise(F.col("tokens")).alias("items"))
+    labelled = pages.join(marked, document(F.col("path")) == F.col("doc_id")).select(F.when(F.col("bad"), F.array_append("tokens", F.lit(_LABEL))).otherwise(F.col("tokens")).alias("items"))
     labelled = cut(labelled)
     n = labelled.count()
     support = min(1.0, max(params.min_support, params.min_pages / max(n, 1)))

@@ -87,6 +87,15 @@ def test_mined_rules_equal_counting(spark):
     assert best and got == {i: ("block", best[i]) if i in best else ("allow", None) for i, _ in rows}
 
 
+def test_labels_belong_to_the_document_in_the_path(spark):
+    ends = ["", "/", ".html", "?page=7&ref=x", "#top"]
+    rows = [(5000 - i, f"http://h.biz/{'bad' if i % 4 == 0 else 'good'}/{i}{ends[i % 5]}") for i in range(200)] + [(i, "http://h.biz/good/about7x") for i in range(0, 200, 4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {(r.page_id, r.verdict, r.mined_confidence) for r in url_filters.judge(pages, labels, {}).collect()}
+    assert got == {(i, "block", 1.0) if "/bad/" in u else (i, "allow", None) for i, u in rows}
+
+
 # 2 Toxicity
 
 
