@@ -75,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of line dedup and quality rules; the other methods are tested against brute force."""
+    """SQL of line dedup (each line of a stretch of 50 words or more that stands earlier too) and quality rules; the other methods are tested against brute force."""
     return {"op3_line_dedup": _LINE_DEDUP_SQL, "op7_quality_rules": _QUALITY_SQL}
 
 
@@ -84,9 +84,11 @@ _WORDS_SQL = r"list_filter(regexp_split_to_array({x}, '[\x20\x09-\x0D]+'), lambd
 _LINE_DEDUP_SQL = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents),
 w AS (SELECT *, len({_WORDS_SQL.format(x='content')}) AS words FROM l),
 b AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) - words AS before FROM w WHERE words > 0),
-f AS (SELECT doc_id, line, array_to_string(list(content) OVER r, chr(10)) AS held, list(line) OVER r AS places, sum(words) OVER r AS reach, max(line) OVER r AS last
- FROM b WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-k AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY doc_id, line) AS rn, first_value(doc_id) OVER (PARTITION BY held ORDER BY doc_id, line) AS fd, first_value(last) OVER (PARTITION BY held ORDER BY doc_id, line) AS fl FROM f WHERE reach >= 50),
+e AS (SELECT *, before + words AS after FROM b),
+s AS (SELECT doc_id, list(content) OVER r AS held, list(line) OVER r AS places, list(words) OVER r AS sizes FROM e WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+ UNION SELECT doc_id, list(content) OVER r, list(line) OVER r, list(words) OVER r FROM e WINDOW r AS (PARTITION BY doc_id ORDER BY after RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+f AS (SELECT doc_id, places[1] AS line, places[-1] AS last, places, array_to_string(held, chr(10)) AS held FROM s WHERE list_sum(sizes) >= 50),
+k AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY doc_id, line) AS rn, first_value(doc_id) OVER (PARTITION BY held ORDER BY doc_id, line) AS fd, first_value(last) OVER (PARTITION BY held ORDER BY doc_id, line) AS fl FROM f),
 m AS (SELECT DISTINCT doc_id, p AS line FROM (SELECT doc_id, fd, fl, unnest(places) AS p FROM k WHERE rn > 1) WHERE doc_id <> fd OR p > fl),
 c AS (SELECT w.*, m.line IS NOT NULL AS gone FROM w LEFT JOIN m USING (doc_id, line)),
 t AS (SELECT doc_id, coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (NOT gone), '') AS text, count(*) AS n, count(*) FILTER (gone) AS n_removed_lines, coalesce(sum(words) FILTER (gone), 0) AS n_removed_words FROM c GROUP BY doc_id)

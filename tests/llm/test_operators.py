@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 
 from corvidex.llm import decontamination, jaccard_join, license_scan, packing, quality_rules, secret_scan, token_counts, toxicity, url_filters
 from corvidex.llm._text import shingles, word_hashes
-from corvidex.llm.line_dedup import LineDedupParams, dedup_lines
+from corvidex.llm.line_dedup import LineDedupParams, dedup_lines, winnow
 from tests.llm.cases import frame, same, texts, words
 
 WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
@@ -115,43 +115,47 @@ def test_toxicity_learns_and_takes_all_texts(spark):
 # 3 Line dedup
 
 
+def runs_removed(rows, least=50):
+    """By (id, text): (text left, lines removed), from all runs of ``least`` words or more, whatever their length."""
+    parts = {k: [(n, x, len(x.split())) for n, x in enumerate(k[1].split("\n")) if x.split()] for k in dict.fromkeys(rows) if k[1] is not None}
+    seen, out = {}, {}
+    for k in sorted(parts, key=lambda k: (k[0] is not None, k[0] or 0)):
+        gone, lines = set(), parts[k]
+        for a in range(len(lines)):
+            total = 0
+            for b in range(a, len(lines)):
+                total += lines[b][2]
+                if total >= least:
+                    first, last = seen.setdefault(tuple(x for _, x, _ in lines[a : b + 1]), (k, lines[b][0]))
+                    gone |= {n for n, _, _ in lines[a : b + 1] if first != k or n > last}
+        out[k] = ("\n".join(x for n, x in enumerate(k[1].split("\n")) if n not in gone), len(gone))
+    return out
+
+
 def test_line_dedup_equals_brute_force(spark):
     rows = texts()
-    params = LineDedupParams(min_words=50)
-    got = [(r.doc_id, r.text, r.n_removed_lines) for r in dedup_lines(frame(spark, rows), params).collect()]
-    lines, order = {}, []
-    for i, t in rows:
-        if (i, t) not in lines and t is not None:
-            lines[i, t] = [(n, x, len(x.split())) for n, x in enumerate(t.split("\n")) if x.split()]
-            order.append((i, t))
-    order.sort(key=lambda k: (k[0] is not None, k[0] or 0))
-    seen, gone = {}, defaultdict(set)
-    for k in order:
-        for a in range(len(lines[k])):
-            total, b = 0, a
-            while b < len(lines[k]) and total < 50:
-                total += lines[k][b][2]
-                b += 1
-            if total >= 50:
-                held = tuple(x for _, x, _ in lines[k][a:b])
-                if held not in seen:
-                    seen[held] = (k, lines[k][b - 1][0])
-                else:
-                    first, last = seen[held]
-                    gone[k] |= {n for n, _, _ in lines[k][a:b] if first != k or n > last}
-
-    def left(i, t):
-        if t is None or not gone[i, t]:
-            return i, t, 0
-        return i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i, t]), len(gone[i, t])
-
-    same(got, [left(i, t) for i, t in rows])
+    got = [(r.doc_id, r.text, r.n_removed_lines) for r in dedup_lines(frame(spark, rows)).collect()]
+    left = runs_removed(rows)
+    same(got, [(i, *left.get((i, t), (t, 0))) for i, t in rows])
     assert {i: n for i, _, n in got if n} == {2: 1, 10: 1}
     assert dedup_lines(frame(spark, [])).count() == 0
     kept = dedup_lines(frame(spark), counts=False)
     assert kept.columns == frame(spark).columns and {r.n_lines for r in kept.collect()} == {"mine"}
 
 
+def test_winnowing_selects_window_minima(spark):
+    rows = [(1, "\n".join(words(k, 1 + k % 30) for k in range(60)))]
+    got = winnow(frame(spark, rows)).orderBy("line").collect()
+    for i, r in enumerate(got):
+        total, j = 0, i
+        while j < len(got) and total < 50:
+            total += got[j].words
+            j += 1
+        least = min(((x.h, -x.line) for x in got[i:j]), default=None) if total >= 50 else None
+        assert (r.ahead and tuple(r.ahead)) == least
+    assert len({r.ahead.at for r in got if r.ahead}) < len(got) / 2
+
+
 def test_line_dedup_keeps_the_first_copy_inside_a_document(spark):
     block = "\n".join(words(k, 20) for k in range(3))
     text = "\n".join([block, words(50, 9), block, block])
@@ -161,24 +165,21 @@ def test_line_dedup_keeps_the_first_copy_inside_a_document(spark):
     assert dedup_lines(frame(spark, [(1, same_line)])).first().n_removed_lines == 4
 
 
-def test_extended_line_dedup_takes_whole_runs(spark):
+def test_line_dedup_extends_past_the_last_window(spark):
     tail = "\n".join([words(1, 60), words(2, 10), words(3, 20)])
     rows = [(1, words(4, 5) + "\n" + tail + "\n" + words(5, 70)), (2, words(6, 5) + "\n" + tail + "\n" + words(7, 70)), (3, tail + "\n\n" + tail)]
     r = random.Random(3)
     pool = [words(100 + k, r.choice([1, 4, 10, 20, 30, 60])) for k in range(8)]
     rows += [(10 + k, "\n".join(r.choice([*pool, "", words(1000 + 50 * k + j, 7)]) for j in range(12))) for k in range(40)]
-    seen, expected = {}, {}
-    for i, t in rows:
-        parts, gone = t.split("\n"), set()
-        lines = [(n, x, len(x.split())) for n, x in enumerate(parts) if x]
-        for a in range(len(lines)):
-            for b in range(a + 1, len(lines) + 1):
-                if sum(w for _, _, w in lines[a:b]) >= 50:
-                    first, last = seen.setdefault(tuple(x for _, x, _ in lines[a:b]), (i, lines[b - 1][0]))
-                    gone |= {n for n, _, _ in lines[a:b] if first != i or n > last}
-        expected[i] = ("\n".join(x for n, x in enumerate(parts) if n not in gone), len(gone))
-    got = {x.doc_id: (x.text, x.n_removed_lines) for x in dedup_lines(frame(spark, rows), LineDedupParams(extend=True)).collect()}
-    assert got == expected and got[2][1] == 3 and got[3][1] == 6
+    got = {(x.doc_id, x.text, x.n_removed_lines) for x in dedup_lines(frame(spark, rows)).collect()}
+    left = runs_removed(rows)
+    assert got == {(i, *left[i, t]) for i, t in rows} and {i: n for i, _, n in got if i < 4} == {1: 0, 2: 3, 3: 6}
+
+
+def test_line_dedup_takes_time_in_proportion_to_a_long_text(spark):
+    text = "\n".join(f"line {k} of {k * 7}" for k in range(60_000))
+    got = {r.doc_id: r for r in dedup_lines(frame(spark, [(1, text), (2, text)])).collect()}
+    assert got[1].text == text and got[2].text == "" and got[2].n_removed_lines == 60_000
 
 
 # 4 Decontamination
