@@ -301,6 +301,38 @@ def test_jaccard_join_equals_brute_force(spark):
     assert jaccard_join.jaccard_join(frame(spark, [])).count() == 0
 
 
+def test_one_id_for_unrelated_texts_loses_none(spark):
+    a, b, c, d = (words(k, 90) for k in (701, 702, 703, 704))
+    near = " ".join([*c.split()[:-1], "other"])
+    rows = [(1, a), (1, b), (2, c), (2, d), (3, near), (1, a), (4, b)]
+    kept = jaccard_join.keep_one(frame(spark, rows))
+    same([(r.doc_id, r.text) for r in kept.collect()], [(1, a), (1, b), (2, c), (2, d)])
+    got = {(r.doc_id, r.n_links) for r in jaccard_join.jaccard_join(frame(spark, rows)).collect()}
+    assert got == {(1, 0), (2, 0), (2, 1), (3, 1), (4, 0)}
+
+
+def test_a_long_chain_costs_in_proportion(spark):
+    stream = words(800, 3000).split()
+    rows = [(k, " ".join(stream[4 * k : 4 * k + 90])) for k in range(700)]
+    params = jaccard_join.JaccardParams(block=16)
+    docs = jaccard_join._keyed(frame(spark, rows)).mapInArrow(jaccard_join._labels(params), "doc_id long, k1 long, k2 long, size long, nodes array<long>, rests array<long>")
+    entries = docs.selectExpr("doc_id AS c", "size", "explode(nodes) AS node")
+    cells = jaccard_join._cells(entries.select("node", "c"), docs.selectExpr("doc_id AS c", "size"), params)
+    assert cells.count() < 40 * len(rows)
+    got = {r.doc_id: (r.n_links, r.group_id) for r in jaccard_join.jaccard_join(frame(spark, rows), params).collect()}
+    # 86 shingles each; two neighbours a side share 78 or more of 94 at most.
+    assert got == {k: (min(k, 2) + min(699 - k, 2), 0) for k in range(700)}
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached():
+    p = jaccard_join.JaccardParams()
+    chance = lambda s, d: 1 - (1 - s**d) ** p.trees
+    assert p.depth(1.0) == p.longest_prefix > p.shortest_prefix == p.depth(0.8)
+    for s in (0.8, 0.83, 0.86, 0.9, 0.95):
+        d = p.depth(s)
+        assert chance(s, d) >= p.recall and (d == p.longest_prefix or chance(s, d + 1) < p.recall)
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(0, 60)] + [(100 + k, 100) for k in range(1, 30)] + [(200, 201), (202, 201)]
     got = {(r.node, r.root) for r in jaccard_join.components(spark.createDataFrame(edges, "u long, v long")).collect()}
