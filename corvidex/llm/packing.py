@@ -2,11 +2,17 @@
 
 A document's ids (with the closing id) are cut into pieces: full sequences
 first, then slots of a reciprocal of the capacity C. A piece of class k is at
-most C/k long (over C/(k+1)), and a bin of class k always takes k pieces. Each
-worker fills its own bins as it reads; only its last, unfilled bin of each class
-is passed on. Those, of a bounded number per worker, are dealt out by class to
-fill bins again, and the at most k-1 pieces left of each class (a number that
-doesn't grow with the data) share the last sequences, largest piece first.
+most C/k long and over C/(k+1), and a bin of class k takes k pieces, no more and
+no fewer. As in the harmonic algorithm, the last class (``classes``) holds all
+pieces of up to C/classes, which fill one bin after another; a piece that
+overruns its bin is cut there, so these bins are full.
+
+Each worker fills its own bins as it reads, and no rows are brought together for
+that. What it passes on are its unfilled bins, at most k - 1 pieces of a class
+and one bin of the last, however much it reads. ``fan_in`` workers at a time
+hand these to one task, which fills bins by the same rule and passes on as few,
+until one task is left, which puts its pieces into shared sequences, largest
+first. Any task of these rounds gets at most ``fan_in`` times what one passes on.
 
 Cutting stops once a piece fills ``fill`` of its class's slot, so padding stays
 near 1 - fill for the last cut and 0 for the others.
@@ -26,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corvidex.llm._session import cut
 
@@ -37,10 +43,12 @@ class PackingParams:
     end_id: int = 2
     capacity: int = 4096
     fill: float = 0.98
+    classes: int = 16
+    fan_in: int = 64
     memo: int = 800_000  # distinct chunks remembered by a worker at most
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, worker long, sequence_id long, offset long"
 
 # A chunk of plain letters with closing marks: lower-cased letters and marks are two pre-tokens of this tokenizer.
 _PLAIN = regex.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -105,13 +113,14 @@ def _chunk_ids(path: str, memo: int) -> ChunkIds:
     return ChunkIds(path, memo)
 
 
-def cuts(total: int, capacity: int, fill: float) -> list[tuple[int, int]]:
+def cuts(total: int, params: PackingParams) -> list[tuple[int, int]]:
     """(length, class) of the pieces of a document of ``total`` ids."""
+    capacity = params.capacity
     out = [(capacity, 1)] * (total // capacity)
     rest = total % capacity
     while rest:
-        k = capacity // rest  # a bin of k such pieces fits
-        if rest >= fill * (capacity // k):
+        k = min(capacity // rest, params.classes)  # a bin of k such pieces fits
+        if k == params.classes or rest >= params.fill * (capacity // k):
             out.append((rest, k))
             break
         slot = capacity // (k + 1)
@@ -122,46 +131,110 @@ def cuts(total: int, capacity: int, fill: float) -> list[tuple[int, int]]:
 
 def pack(documents: DataFrame, params: PackingParams) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = cut(documents.select("doc_id", "text").mapInArrow(_worker(params), PIECES))
-    filled = pieces.where("sequence_id IS NOT NULL")
-    left = pieces.where("sequence_id IS NULL")
-    by_class = Window.partitionBy("class").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    rank = F.row_number().over(by_class) - 1
-    dealt = left.withColumn("bin", F.floor(rank / F.col("class"))).withColumn("full", F.count("*").over(Window.partitionBy("class", "bin")) == F.col("class"))
-    within = Window.partitionBy("class", "bin").orderBy("doc_id", "start", "ids_crc32", "doc_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = cut(dealt.withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0))))
-    number = F.shiftleft(F.col("class").cast("long"), 40) + F.col("bin")
-    again = dealt.where("full").withColumn("sequence_id", -1 - number)
-    # At most k - 1 pieces of a class are left here, whatever the size of the input.
-    last = dealt.where("NOT full").drop("bin", "full").coalesce(1).mapInArrow(_last(params), PIECES)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return filled.select(columns).unionByName(again.select(columns)).unionByName(last.select(columns))
+    pieces = cut(documents.select("doc_id", "text").mapInArrow(_worker(params), PIECES))
+    filled = pieces.where("sequence_id IS NOT NULL").select(columns)
+    workers = (pieces.agg(F.max("worker")).first()[0] or 0) + 1
+    for number in range(1, 64):
+        left = pieces.where("sequence_id IS NULL").withColumn("group", F.floor(F.col("worker") / params.fan_in))
+        workers = -(-workers // params.fan_in)
+        pieces = cut(left.groupBy("group").applyInArrow(_deal(params, number, workers == 1), PIECES))
+        filled = filled.unionByName(pieces.where("sequence_id IS NOT NULL").select(columns))
+        if workers == 1:
+            break
+    return filled
+
+
+class _Bins:
+    """Bins by class; ``number`` counts the sequences that are full."""
+
+    def __init__(self, params: PackingParams, first: int, step: int):
+        self.params, self.held, self.rows, self.number, self.step = params, {}, [], first, step
+
+    def close(self, k: int) -> None:
+        self.rows += _sequence(self.held.pop(k), self.number)
+        self.number += self.step
+
+    def add(self, piece: tuple) -> None:
+        """``piece``: (doc_id, start, length, ids_crc32, doc_tokens, class, worker). The last class's bin is closed when it has no room."""
+        k = piece[5]
+        held = self.held.setdefault(k, [])
+        if k == self.params.classes and sum(p[2] for p in held) + piece[2] > self.params.capacity:
+            self.close(k)
+            held = self.held.setdefault(k, [])
+        held.append(piece)
+        full = sum(p[2] for p in held) == self.params.capacity if k == self.params.classes else len(held) == k
+        if full:
+            self.close(k)
+
+    def room(self) -> int:
+        """What the last class's bin still takes."""
+        return self.params.capacity - sum(p[2] for p in self.held.get(self.params.classes, []))
+
+    def take(self) -> list[tuple]:
+        rows, self.rows = self.rows, []
+        return rows
+
+    def left(self) -> list[tuple]:
+        return [p for held in self.held.values() for p in held]
 
 
 def _worker(params: PackingParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, bins, opened = _chunk_ids(params.tokenizer, params.memo), {}, 0
-        first = TaskContext.get().partitionId() << 32
-        end = np.array([params.end_id], "<u4").tobytes()
+        ids_of, worker = _chunk_ids(params.tokenizer, params.memo), TaskContext.get().partitionId()
+        bins, end = _Bins(params, worker << 32, 1), np.array([params.end_id], "<u4").tobytes()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
-                part, rows = b.slice(lo, 256), []
+                part = b.slice(lo, 256)
                 for doc, ids in zip(part.column("doc_id").to_pylist(), ids_of([t or "" for t in part.column("text").to_pylist()]), strict=True):
                     ids, start = ids + end, 0
-                    for length, k in cuts(len(ids) // 4, params.capacity, params.fill):
-                        crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                        held = bins.setdefault(k, [])
-                        held.append((doc, start, length, crc, len(ids) // 4, k))
-                        start += length
-                        if len(held) == k:
-                            rows += _sequence(bins.pop(k), first + opened)
-                            opened += 1
-                yield _batch(rows)
-        yield _batch([(*p, None, None) for held in bins.values() for p in held])
+                    for length, k in cuts(len(ids) // 4, params):
+                        # Of the last class, a piece that overruns the bin is cut at its end.
+                        parts = [length]
+                        if k == params.classes and length > (room := bins.room()):
+                            parts = [room, length - room]
+                        for n in parts:
+                            bins.add((doc, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, k, worker))
+                            start += n
+                yield _batch(bins.take())
+        yield _batch([(*p, None, None) for p in bins.left()])
+
+    return run
+
+
+def _deal(params: PackingParams, number: int, last: bool):
+    """applyInArrow: fill bins from the pieces of a group of workers; the last one fills sequences with all that is left."""
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class")
+
+    def run(table: pa.Table) -> pa.Table:
+        group = table.column("group")[0].as_py()
+        held = sorted(zip(*(table.column(n).to_pylist() for n in names), strict=True), key=lambda p: (-p[2], p[0] is None, p[0] or 0, *p[1:]))
+        bins = _Bins(params, -1 - ((number << 50) | (group << 20)), -1)
+        for p in held:
+            bins.add((*p, group))
+        rows, left = bins.take(), bins.left()
+        if last:
+            rows += [r for i, pieces in enumerate(_first_fit(left, params.capacity)) for r in _sequence(pieces, bins.number - i)]
+        else:
+            rows += [(*p, None, None) for p in left]
+        return pa.Table.from_batches([_batch(rows)])
 
     return run
 
 
+def _first_fit(pieces: list[tuple], capacity: int) -> list[list[tuple]]:
+    room, held = np.zeros(0, np.int64), []
+    for p in sorted(pieces, key=lambda p: -p[2]):
+        fits = np.flatnonzero(room >= p[2])
+        at = int(fits[0]) if len(fits) else len(room)
+        if not len(fits):
+            room = np.append(room, capacity)
+            held.append([])
+        held[at].append(p)
+        room[at] -= p[2]
+    return held
+
+
 def _sequence(pieces: list[tuple], number: int) -> list[tuple]:
     out, offset = [], 0
     for p in pieces:
@@ -177,26 +250,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for c, n in zip(columns, names, strict=True)], names)
 
 
-def _last(params: PackingParams):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [tuple(r[n] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class")) for b in batches for r in b.to_pylist()]
-        rows.sort(key=lambda p: (-p[2], p[0] is None, p[0] or 0, p[1], p[3]))
-        room, held = np.zeros(0, np.int64), []
-        for p in rows:
-            fits = np.flatnonzero(room >= p[2])
-            if len(fits):
-                at = int(fits[0])
-            else:
-                at, room = len(room), np.append(room, params.capacity)
-                held.append([])
-            held[at].append(p)
-            room[at] -= p[2]
-        top = -(1 << 60)
-        yield _batch([r for i, pieces in enumerate(held) for r in _sequence(pieces, top - i)])
-
-    return run
-
-
 def padding(pieces: DataFrame, capacity: int) -> DataFrame:
     """One row: n_sequences, tokens, padded tokens (none for a sequence whose length is a power of two)."""
     each = pieces.groupBy("sequence_id").agg(F.sum("length").alias("tokens"))

@@ -224,39 +224,79 @@ def paths():
     return public_tokenizers.path
 
 
-def test_cuts_fill_their_slots():
-    for total in [*range(1, 300), 4095, 4096, 4097, 9000, 12345]:
-        pieces = packing.cuts(total, 4096, 0.98)
+def test_cuts_fill_their_slots(paths):
+    params = packing.PackingParams("")
+    for total in [*range(1, 600), 4095, 4096, 4097, 9000, 12345]:
+        pieces = packing.cuts(total, params)
         assert sum(n for n, _ in pieces) == total and all(1 <= n <= 4096 // k for n, k in pieces)
-        assert all(n >= 0.98 * (4096 // k) for n, k in pieces)
+        assert all(n >= 0.98 * (4096 // k) for n, k in pieces if k < params.classes)
 
 
-def test_packing_round_trip(spark, paths):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(paths("word_bpe_49k.json"))
-    rows = [*texts(), (70, "It's <|startoftext|> don't\tİSTANBUL ΟΔΟΣ cafe\u0301  x\u00a0y"), (71, "A,b.C!D")]
-    got = packing.pack(frame(spark, rows).repartition(3), packing.PackingParams(paths("word_bpe_49k.json"))).collect()
-    ids = Counter()
-    for i, x in rows:
-        e = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
-        at = 0
-        for n, _ in packing.cuts(len(e), 4096, 0.98):
-            ids[i, at, n, zlib.crc32(e[at : at + n].tobytes()), len(e)] += 1
-            at += n
-    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == ids
-    by = defaultdict(list)
+def packed_right(got, rows, ids_of, capacity=4096):
+    """Pieces tile their documents, hold their ids, and sequences are gapless; returns the pieces of each sequence."""
+    ids = Counter(ids_of(x).tobytes() for _, x in rows)
+    whole, by = defaultdict(list), defaultdict(list)
     for r in got:
+        whole[r.doc_id].append(r)
         by[r.sequence_id].append(r)
+    for i in {i for i, _ in rows}:
+        expected = Counter()
+        for j, x in rows:
+            if j == i:
+                e, held = ids_of(x), {(r.start, r.length, r.ids_crc32, r.doc_tokens) for r in whole[i]}
+                # Every id of the document once: from 0 on, piece by piece.
+                at = 0
+                while at < len(e):
+                    n = max(n for s, n, c, t in held if s == at and t == len(e) and c == zlib.crc32(e[at : at + n].tobytes()))
+                    expected[at, n, zlib.crc32(e[at : at + n].tobytes()), len(e)] += 1
+                    at += n
+        same_length = len({len(ids_of(x)) for j, x in rows if j == i}) == len([1 for j, _ in rows if j == i])
+        if same_length:
+            assert Counter((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in whole[i]) == expected
+    assert sum(r.length for r in got) == sum(len(ids_of(x)) for _, x in rows) and ids
     for held in by.values():
         at = 0
         for r in sorted(held, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 4096
+        assert at <= capacity
+    return by
+
+
+def test_packing_round_trip(spark, paths):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(paths("word_bpe_49k.json"))
+    rows = [*texts(), (70, "It's <|startoftext|> don't\tİSTANBUL ΟΔΟΣ cafe\u0301  x\u00a0y"), (71, "A,b.C!D")]
+    got = packing.pack(frame(spark, rows).repartition(3), packing.PackingParams(paths("word_bpe_49k.json"))).collect()
+    packed_right(got, rows, lambda x: np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4"))
     assert packing.padding(packing.pack(frame(spark, []), packing.PackingParams(paths("word_bpe_49k.json"))), 4096).first().n_sequences == 0
 
 
+def test_bins_of_a_class_hold_its_count(spark, paths):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(paths("word_bpe_49k.json"))
+    r = random.Random(9)
+    rows = [(k, words(k, r.choice([1, 5, 40, 90, 150, 300, 700]))) for k in range(900)]
+    params = packing.PackingParams(paths("word_bpe_49k.json"), capacity=1024, classes=8, fan_in=3)
+    got = packing.pack(frame(spark, rows).repartition(11), params).collect()
+    by = packed_right(got, rows, lambda x: np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4"), 1024)
+    of = lambda n: min(1024 // n, 8)
+    workers = {s: held for s, held in by.items() if s >= 0}
+    for held in workers.values():
+        k = of(max(x.length for x in held))
+        if k < 8:
+            assert len(held) == k and {of(x.length) for x in held} == {k}
+        else:
+            assert sum(x.length for x in held) == 1024
+    # A worker passes on at most k - 1 pieces of a class and one bin of the last.
+    passed = Counter(of(x.length) for s, held in by.items() if s < 0 for x in held)
+    assert all(n <= 11 * (k - 1) for k, n in passed.items() if k < 8) and sum(passed.values()) < len(got) / 2
+    tokens = sum(x.length for x in got)
+    assert len(by) * 1024 < 1.08 * tokens
+
+
 # 6 Jaccard join
 
 
