@@ -1,13 +1,12 @@
 """Quality rules: base statistics of each text and cross-document line frequency, native operations only.
 
 Lines are normalised (lower case, runs of spaces as one) and hashed. For each
-host the distinct documents of each line are counted; lines in more than
-``max(min_documents, share of the host's documents)`` of them are removed, and
-a document whose remaining words are fewer than ``min_words`` or than
+host the distinct documents of each line are counted; lines in more than the
+share ``max_share`` of the host's documents, and in more than ``min_documents``
+of them, are removed, whatever the host's size, and a document whose remaining words are fewer than ``min_words`` or than
 ``min_left`` of its words is depleted and rejected. The texts are read once:
 statistics and line hashes are written to the checkpoint folder, and counting
-starts from there. A hot line of a hot host is summed before the shuffle and
-leaves the join's other side small, so that adaptive execution can split it.
+starts from there. A hot line of a hot host is summed before the shuffle.
 
 Defined cases: null and empty texts have zero counts and fail the base rules; a
 null host is a host of its own; each row counts as a document, also if its id
@@ -31,7 +30,7 @@ class QualityParams:
     min_words: int = 50
     max_repeat_percent: int = 50
     window: int = 3
-    min_documents: int = 100
+    min_documents: int = 4  # a line of so few documents never goes
     max_share: float = 0.01
     min_left: float = 0.5
 
@@ -75,9 +74,11 @@ def apply_rules(documents: DataFrame, host: str, params: QualityParams = Quality
     rows = documents.select("doc_id", F.col("text"), F.col(host).alias("host"), F.monotonically_increasing_id().alias("row"))
     stats = cut(base_statistics(rows, params=params).drop("text"))
     lines = stats.select("row", "host", F.explode("lines").alias("x")).groupBy("row", "host", F.col("x.h").alias("h")).agg(F.sum("x.w").alias("w"))
-    limits = stats.groupBy("host").agg(F.greatest(F.lit(params.min_documents), F.ceil(F.count("*") * params.max_share)).alias("most"))
+    limits = stats.groupBy(F.col("host").alias("limit_of")).agg((F.count("*") * params.max_share).alias("most"))
     common = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > params.min_documents).withColumnRenamed("host", "of")
-    common = common.join(limits.withColumnRenamed("host", "limit_of"), F.col("of").eqNullSafe(F.col("limit_of"))).where("n > most").select("of", F.col("h").alias("line"))
+    common = common.join(limits, F.col("of").eqNullSafe(F.col("limit_of"))).where("n > most").select("of", F.col("h").alias("line"))
+    # Written, so that a line of very many documents can be split over tasks in the join.
+    common = cut(common)
     removed = lines.join(common, F.col("host").eqNullSafe(F.col("of")) & (F.col("h") == F.col("line"))).groupBy("row").agg(F.sum("w").alias("n_removed_words"))
     out = stats.drop("lines").join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.max_repeat_percent * F.col("n_words"))

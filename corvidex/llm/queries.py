@@ -103,8 +103,8 @@ l AS (SELECT doc_id, host, x, len({_WORDS_SQL.format(x='x')}) AS n FROM (SELECT
 own AS (SELECT * FROM l WHERE n > 0),
 u AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM own GROUP BY doc_id),
 h AS (SELECT doc_id, host, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS h, sum(n) AS n FROM own GROUP BY ALL),
-lim AS (SELECT host, greatest(100, ceil(count(*) * 0.01)) AS most FROM d GROUP BY host),
-com AS (SELECT host, h FROM (SELECT host, h, count(*) AS docs FROM h GROUP BY ALL) JOIN lim USING (host) WHERE docs > most),
+lim AS (SELECT host, count(*) * CAST(0.01 AS DOUBLE) AS most FROM d GROUP BY host),
+com AS (SELECT host, h FROM (SELECT host, h, count(*) AS docs FROM h GROUP BY ALL) JOIN lim USING (host) WHERE docs > 4 AND docs > most),
 rem AS (SELECT doc_id, sum(n) AS removed FROM h JOIN com USING (host, h) GROUP BY doc_id),
 s AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed, 0) AS removed FROM w LEFT JOIN u USING (doc_id) LEFT JOIN v USING (doc_id) LEFT JOIN rem USING (doc_id)),
