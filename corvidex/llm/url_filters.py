@@ -96,8 +96,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Mapping[str, str] = RULES,
     each = read.select("row", F.explode("tokens").alias("token"), "tokens")
     wanted = mined.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
     # How often each token of a rule occurs in all pages decides by which one the rule is indexed.
-    counts = each.select("token").join(wanted.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
+    counts = each.groupBy("token").agg(F.count("*").alias("n"))
     index = wanted.join(counts, "token").groupBy("antecedent", "confidence").agg(F.min(F.struct("n", "token")).alias("x")).select("antecedent", "confidence", F.col("x.token").alias("token"))
+    index = cut(index)  # so that a token of very many pages can be split over tasks in the join
     fits = F.size(F.array_except("antecedent", "tokens")) == 0
     hits = each.join(index, "token").where(fits).groupBy("row").agg(F.max("confidence").alias("mined_confidence"))
     given = F.element_at(F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]), F.col("rule")) if rules else F.lit(None).cast("string")
