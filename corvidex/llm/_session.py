@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,10 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset, as in tests on one machine, a temporary folder is taken.
+    The folder is the session's ``spark.checkpoint.dir``, which has to be one
+    that the driver and all executors share. ``spark.cleaner.referenceTracking.
+    cleanCheckpoints`` removes what is no longer in use.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvidex-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
