@@ -207,13 +207,59 @@ def test_decontamination_equals_brute_force(spark):
                 expected.add((i, k))
     assert got == expected and {(100 + k, k) for k in range(20)} | {(300, 50)} <= got
     assert not {(200 + k, k) for k in range(5)} & got
-    small = decontamination.DecontaminationParams(shard=7, block=3)
+    small = decontamination.DecontaminationParams(block=3, smallest=4, max_postings=200)
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, docs), bench, small).collect()} == expected
     kept = decontamination.decontaminate(frame(spark, docs), bench)
     assert kept.columns == frame(spark).columns and kept.count() == len(docs) - len([1 for i, _ in docs if i in {x for x, _ in expected}])
     assert decontamination.contaminated(frame(spark), bench.limit(0)).count() == 0
 
 
+def bm25_shares(items, k1=1.2, b=0.75):
+    """By item: {term: share of the item's BM25 impact}."""
+    held = {k: Counter(WORD.findall((t or "").lower())) for k, t in items}
+    held = {k: c for k, c in held.items() if c}
+    df = Counter(t for c in held.values() for t in c)
+    average = sum(sum(c.values()) for c in held.values()) / len(held)
+    out = {}
+    for k, c in held.items():
+        n = sum(c.values())
+        w = {t: np.log(1 + (len(held) - df[t] + 0.5) / (df[t] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * n / average)) for t, f in c.items()}
+        out[k] = {t: x / sum(w.values()) for t, x in w.items()}
+    return out
+
+
+def test_scores_are_bm25_shares_and_reach_the_threshold(spark):
+    vocabulary = words(910, 60).split()
+    r = random.Random(6)
+    items = [(k, " ".join(r.choice(vocabulary) for _ in range(r.randint(4, 60)))) for k in range(150)]
+    shares = bm25_shares(items)
+    rows, postings = decontamination.weighed_items(spark.createDataFrame(items, "item_id long, text string"))
+    rows = [x.asDict(recursive=True) for x in rows.collect()]
+    assert postings == sum(map(len, shares.values()))
+    for x in rows:
+        assert sorted(y["weight"] for y in x["weights"]) == pytest.approx(sorted(shares[x["item_id"]].values()))
+    params = decontamination.DecontaminationParams(threshold=0.5, block=3, smallest=8)
+    by_class = defaultdict(set)
+    for index in decontamination.build(rows, params):
+        by_class[index.stretch] = set(index.ids)
+        for seed in range(60):
+            text = " ".join(random.Random(seed).choice(vocabulary) for _ in range(index.stretch))
+            got = decontamination.retrieve(*word_hashes([text]), index, params)
+            held = set(WORD.findall(text))
+            expected = {k: sum(w for t, w in shares[k].items() if t in held) for k in index.ids}
+            assert {index.ids[i]: pytest.approx(s) for _, i, s in got} == {k: s for k, s in expected.items() if s >= 0.5}
+    assert sorted(k for ids in by_class.values() for k in ids) == list(range(150)) and len(by_class) > 2
+
+
+def test_a_large_benchmark_takes_one_pass(spark):
+    items = [(k, words(5_000 + k, 24)) for k in range(50_000)]
+    docs = [(k, words(k, 200) + " " + items[k * 7][1] + " " + words(-k, 100)) for k in range(100)] + [(1000 + k, words(-1000 - k, 300)) for k in range(100)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.contaminated(frame(spark, docs), bench)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k * 7) for k in range(100)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 # 5 Packing
 
 
@@ -385,7 +431,7 @@ def test_components(spark):
 def test_quality_rules_equal_brute_force(spark):
     shared = "Subscribe  to our\tnewsletter " + words(600, 40)
     rows = [*texts(), *((2000 + k, words(k, 10) + "\n" + shared.upper() + "\n" + words(-k, 45 if k % 2 else 5)) for k in range(30))]
-    params = quality_rules.QualityParams(min_documents=20)
+    params = quality_rules.QualityParams(min_documents=20, max_share=0.3)
     got = [tuple(r) for r in quality_rules.apply_rules(frame(spark, rows), "source", params).collect()]
     word = re.compile("[^\x20\x09-\x0d]+")
     norm = lambda x: re.sub("[\x20\x09-\x0d]+", " ", x).strip(" ").lower()
@@ -398,7 +444,7 @@ def test_quality_rules_equal_brute_force(spark):
         for k in range(len(w) - 2):
             grams[tuple(w[k : k + 3])].append(k)
         again = {p + k for v in grams.values() if len(v) > 1 for p in v for k in range(3)}
-        removed = sum(len(word.findall(x)) for x in lines if docs[norm(x)] > 20)
+        removed = sum(len(word.findall(x)) for x in lines if docs[norm(x)] > max(20, 0.3 * len(rows)))
         failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
         left = len(w) - removed
         expected.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again), removed, failed, not failed and left >= 50 and left >= 0.5 * len(w)))
@@ -406,6 +452,15 @@ def test_quality_rules_equal_brute_force(spark):
     assert any(not x[7] and not x[8] for x in expected) and quality_rules.apply_rules(frame(spark, []), "source").count() == 0
 
 
+def test_line_limit_is_a_share_of_the_host_at_any_size(spark):
+    for n in (60, 600):
+        # A line of a tenth of the documents goes, one of a two-hundredth stays.
+        line = lambda k, n=n: (words(620, 60) + "\n" if k % 10 == 0 else "") + (words(621, 60) + "\n" if k % 200 == 1 else "")
+        rows = [(k, line(k) + words(3000 + k, 70 if k % 20 else 20)) for k in range(n)]
+        got = {r.doc_id: (r.n_removed_words, r.kept) for r in quality_rules.apply_rules(frame(spark, rows), "source").collect()}
+        assert got == {k: (60 if k % 10 == 0 else 0, k % 20 != 0) for k in range(n)}
+
+
 # 8 Token counts
 
 
