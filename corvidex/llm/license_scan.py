@@ -2,12 +2,17 @@
 
 Templates are grouped by size: class S holds those of S/2 to S five-word
 shingles (S a power of two). For each class a text's shingles are cut into
-stretches of S; a window is two stretches on end, so some window holds any copy
-of a template whole and their Jaccard similarity is then at least a quarter (an
-eighth at the smallest S). A band is one minimum; with ``bands`` bands a copy
-is retrieved with a chance of at least 1 - (7/8)^bands, over 0.99999. Retrieved
-windows are verified: they must hold at least ``containment`` of the template's
-shingles.
+stretches of S; a window is two stretches on end. A band is one minimum, and an
+index leads from a band's minimum to the templates that have it. A copy that
+stands whole in a window has a Jaccard similarity of at least a quarter with it
+(an eighth at the smallest S); one that words were put into, spread over three
+stretches, still has at least 0.087 with one of its windows. With ``bands`` bands
+they are retrieved with a chance of 1 - (1 - similarity)^bands: over 0.99999
+and over 0.9998. A retrieved window is verified with one stretch more on either
+side, which must hold at least ``containment`` of the template's shingles.
+
+Minima of a longer stretch are those of the two shorter ones it consists of, so
+all classes together read a text's shingles once for each band.
 
 Defined cases: null and empty texts match nothing, as do templates without
 words; words ignore case and punctuation; texts and templates of under five
@@ -24,21 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corvidex.llm._text import shingles, slices, word_hashes
+from corvidex.llm.license_texts import TEMPLATES
 
 _U = np.uint64
-
-# Short public license notices.
-TEMPLATES = {
-    "mit-line": "Released under the MIT License.",
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3-line": "This work is licensed under the GNU General Public License, version 3.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "gpl-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "bsd-2": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-}
+_BUCKET_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -50,10 +44,19 @@ class LicenseParams:
 
 @dataclass(frozen=True)
 class _Class:
-    stretch: int
     names: list[str]
     shingles: list[np.ndarray]  # sorted
-    minima: np.ndarray  # (bands, templates)
+    minima: list[np.ndarray]  # by band: the templates' minima, sorted
+    holders: list[np.ndarray]  # by band: the template of each
+    buckets: np.ndarray  # (bands, leading bits): whether some minimum begins so
+
+    def retrieve(self, band: int, least: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, template) for windows whose least value in the band is a template's."""
+        some = np.flatnonzero(self.buckets[band][least >> _U(64 - _BUCKET_BITS)])
+        lo, hi = (np.searchsorted(self.minima[band], least[some], side) for side in ("left", "right"))
+        for k in np.flatnonzero(hi > lo):
+            for t in self.holders[band][lo[k] : hi[k]].tolist():
+                yield int(some[k]), t
 
 
 def _seeds(bands: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +64,8 @@ def _seeds(bands: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 2**63, bands, dtype=np.uint64) | _U(1), rng.integers(0, 2**63, bands, dtype=np.uint64)
 
 
-def _classes(templates: Mapping[str, str], params: LicenseParams) -> list[_Class]:
+def _classes(templates: Mapping[str, str], params: LicenseParams) -> dict[int, _Class]:
+    """By stretch: the index of the templates of that size."""
     a, b = _seeds(params.bands)
     by: dict[int, list[tuple[str, np.ndarray]]] = {}
     for name, text in templates.items():
@@ -71,38 +75,59 @@ def _classes(templates: Mapping[str, str], params: LicenseParams) -> list[_Class
             while size < len(found):
                 size *= 2
             by.setdefault(size, []).append((name, found))
-    return [_Class(size, [n for n, _ in held], [s for _, s in held], np.array([[(s * a[h] + b[h]).min() for _, s in held] for h in range(params.bands)])) for size, held in sorted(by.items())]
-
-
-def _stretches(rows: np.ndarray, size: int) -> np.ndarray:
-    """First shingle of each stretch of at most ``size`` shingles within a text."""
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
-    return np.flatnonzero(place % size == 0)
-
-
-def _matches(value: np.ndarray, rows: np.ndarray, c: _Class, params: LicenseParams) -> list[tuple[int, str, int, float]]:
+    out = {}
+    for size, held in by.items():
+        minima = np.array([[(s * a[h] + b[h]).min() for _, s in held] for h in range(params.bands)])
+        order = np.argsort(minima, axis=1)
+        buckets = np.zeros((params.bands, 1 << _BUCKET_BITS), bool)
+        for h in range(params.bands):
+            buckets[h, minima[h] >> _U(64 - _BUCKET_BITS)] = True
+        out[size] = _Class([n for n, _ in held], [s for _, s in held], list(np.take_along_axis(minima, order, 1)), list(order), buckets)
+    return out
+
+
+def _stretches(rows: np.ndarray, smallest: int, largest: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By size, doubling: (size, its first shingles, their places among those of half the size, whether the next is of the same text)."""
+    out, of, at = [], rows, np.arange(len(rows))
+    size = 1
+    step = smallest
+    while size < largest:
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        place = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
+        begins = np.flatnonzero(place % step == 0)
+        of, at, size, step = of[begins], at[begins], size * step, 2
+        out.append((size, at, begins, np.append(of[1:] == of[:-1], False)))
+    return out
+
+
+def _matches(value: np.ndarray, rows: np.ndarray, classes: Mapping[int, _Class], params: LicenseParams) -> list[tuple[int, str, int, float]]:
     """(text index, template, windows, best containment)."""
-    if not len(value):
+    if not len(value) or not classes:
         return []
     a, b = _seeds(params.bands)
-    start = _stretches(rows, c.stretch)
-    end = np.append(start[1:], len(value))
-    follows = np.append(rows[start[1:]] == rows[start[:-1]], False)  # the next stretch is of the same text
-    hits = set()
+    levels = _stretches(rows, params.smallest, max(classes))
+    hits: set[tuple[int, int, int]] = set()
     for h in range(params.bands):
-        least = np.minimum.reduceat(value * a[h] + b[h], start)
-        least[:-1] = np.where(follows[:-1], np.minimum(least[:-1], least[1:]), least[:-1])
-        for t in range(len(c.names)):
-            hits.update((int(w), t) for w in np.flatnonzero(least == c.minima[h, t]))
-    best: dict[tuple[int, int], tuple[int, float]] = {}
-    for w, t in hits:
-        held = value[start[w] : end[w + 1] if follows[w] else end[w]]
-        share = float(np.isin(c.shingles[t], held).mean())
+        least = value * a[h] + b[h]
+        for level, (size, _, begins, follows) in enumerate(levels):
+            least = np.minimum.reduceat(least, begins)
+            if size in classes:
+                window = least.copy()
+                window[:-1] = np.where(follows[:-1], np.minimum(least[:-1], least[1:]), least[:-1])
+                hits.update((level, w, t) for w, t in classes[size].retrieve(h, window))
+    best: dict[tuple[int, str], tuple[int, float]] = {}
+    for level, w, t in sorted(hits):
+        size, at, _, follows = levels[level]
+        held, end = classes[size], np.append(at[1:], len(value))
+        last = w + int(follows[w])
+        lo = at[w - 1] if w and follows[w - 1] else at[w]
+        hi = end[last + 1] if follows[last] else end[last]
+        share = float(np.isin(held.shingles[t], value[lo:hi]).mean())
         if share >= params.containment:
-            n, most = best.get((int(rows[start[w]]), t), (0, 0.0))
-            best[int(rows[start[w]]), t] = (n + 1, max(most, share))
-    return [(row, c.names[t], n, share) for (row, t), (n, share) in sorted(best.items())]
+            k = (int(rows[at[w]]), held.names[t])
+            n, most = best.get(k, (0, 0.0))
+            best[k] = (n + 1, max(most, share))
+    return [(row, name, n, share) for (row, name), (n, share) in sorted(best.items())]
 
 
 def scan_licenses(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, params: LicenseParams = LicenseParams()) -> DataFrame:
@@ -114,8 +139,7 @@ def scan_licenses(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES
             ids, out = batch.column("doc_id"), []
             for lo, texts in slices(batch, "text", 1 << 18):
                 value, rows = shingles(*word_hashes(texts))
-                for c in classes:
-                    out += [(ids[lo + row].as_py(), name, n, share) for row, name, n, share in _matches(value, rows, c, params)]
+                out += [(ids[lo + row].as_py(), name, n, share) for row, name, n, share in _matches(value, rows, classes, params)]
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             kinds = [ids.type, pa.string(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_id", "license", "n_windows", "containment"])
