@@ -3,6 +3,11 @@
 Statistics (rows, document frequencies, average length) are those of the whole
 index, before any filter. All functions take and give DataFrames; queries come
 as rows (qid, term, is_prefix), so one job answers one query or a million.
+
+What a term adds to a chunk's score doesn't depend on the query, so it is worked
+out once for each term and chunk, and only then meets the queries, in partitions
+dealt by chunk. Ranking reads two columns of a chunk; texts are joined to the
+hits that are left.
 """
 
 from __future__ import annotations
@@ -40,10 +45,11 @@ WEIGHTS = {"text": 3.0, "heading": 2.0, "section_path": 1.0, "tags_text": 1.5}
 
 
 def postings(chunks: DataFrame, columns: Sequence[str] = tuple(WEIGHTS)) -> DataFrame:
-    """(document_id, chunk_no, col, term, pos) of every term of the indexed columns."""
+    """(document_id, chunk_no, n_terms, col, term, pos) of every term of the indexed columns; n_terms counts the chunk's. No shuffle."""
     by_column = F.array(*[F.struct(F.lit(c).alias("col"), tx.index_tokens(F.col(c)).alias("terms")) for c in columns])
-    each = chunks.select(*KEY, F.explode(by_column).alias("x"))
-    return each.select(*KEY, F.col("x.col").alias("col"), F.posexplode("x.terms").alias("pos", "term"))
+    n_terms = F.aggregate("held", F.lit(0).cast("long"), lambda n, x: n + F.size(x["terms"]))
+    each = chunks.select(*KEY, by_column.alias("held")).select(*KEY, n_terms.alias("n_terms"), F.explode("held").alias("x"))
+    return each.select(*KEY, "n_terms", F.col("x.col").alias("col"), F.posexplode("x.terms").alias("pos", "term"))
 
 
 def lengths(chunks: DataFrame, columns: Sequence[str] = tuple(WEIGHTS)) -> DataFrame:
@@ -69,20 +75,37 @@ def index(chunks: DataFrame) -> Index:
     return Index(postings(chunks), size, corpus(size))
 
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """Write the index of ``chunks``: postings dealt and sorted by term, so that a query reads the row groups of its terms alone."""
-    made = index(chunks)
+def _write(made: Index, path: str) -> None:
     made.postings.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.mode("overwrite").parquet(f"{path}/postings")
     made.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    corpus(chunks.sparkSession.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
-def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "corpus")))
+def write_index(chunks: DataFrame, path: str) -> None:
+    """Write the index of ``chunks``: postings dealt and sorted by term, so that a query reads the row groups of its terms alone."""
+    _write(index(chunks), path)
+
+
+def write_change(chunks: DataFrame, ids: DataFrame, path: str) -> None:
+    """Write a change of an index: the documents ``ids`` are replaced by what ``chunks`` holds of them, or go.
+
+    Only these chunks are read; the index that was written before stays as it is.
+    """
+    _write(index(chunks.join(ids.select("document_id"), "document_id", "left_semi")), path)
+    ids.select("document_id").distinct().write.mode("overwrite").parquet(f"{path}/dropped")
+
+
+def read_index(spark: SparkSession, path: str, *changes: str) -> Index:
+    """The index at ``path`` with its changes, the oldest first."""
+    parts = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths")}
+    for change in changes:
+        dropped = spark.read.parquet(f"{change}/dropped")
+        for name, df in parts.items():
+            parts[name] = df.join(dropped, "document_id", "left_anti").unionByName(spark.read.parquet(f"{change}/{name}"))
+    return Index(parts["postings"], parts["lengths"], corpus(parts["lengths"]))
 
 
 def restrict(posts: DataFrame, terms: Sequence[tuple[str, bool]]) -> DataFrame:
-    """The postings of a single query's (term, is_prefix), as a filter that reaches the Parquet scan."""
+    """The postings of a few (term, is_prefix), as a filter that reaches the Parquet scan."""
     whole = F.col("term").isin([t for t, prefix in terms if not prefix])
     return posts.where(reduce(or_, [F.col("term").startswith(t) for t, prefix in terms if prefix], whole))
 
@@ -96,46 +119,79 @@ def compile_query(spark: SparkSession, queries: Mapping[int, str], params: Searc
 
 
 def compile_queries(queries: DataFrame, params: SearchParams = SearchParams(), aliases: Mapping = fixed.ALIASES, normalized: bool = False) -> DataFrame:
+    """(qid, term, is_prefix, words): ``words`` are the index terms of a token; a token of several is a phrase of them."""
     text = F.trim(F.col("query") if normalized else tx.normalize(F.col("query")))
-    term = queries.select("qid", F.explode(tx.expand(tx.query_tokens(text), aliases)).alias("token"))
-    # A token may hold several index terms, e.g. around an underscore; each is searched.
-    term = term.select("qid", F.explode(tx.index_tokens(F.col("token"))).alias("term")).distinct()
-    prefix = (F.length("term") >= params.prefix_min_length) & F.col("term").rlike("^[\\x{0400}-\\x{04FF}]+$") & F.lit(params.prefixes)
-    return term.select("qid", "term", prefix.alias("is_prefix"))
+    token = queries.select("qid", F.explode(tx.expand(tx.query_tokens(text), aliases)).alias("token"))
+    words = token.select("qid", "token", tx.index_tokens(F.col("token")).alias("words")).where(F.size("words") > 0)
+    term = F.concat_ws(" ", "words")
+    prefix = (F.length("token") >= params.prefix_min_length) & F.col("token").rlike("^[\\x{0400}-\\x{04FF}]+$") & F.lit(params.prefixes)
+    return words.select("qid", term.alias("term"), prefix.alias("is_prefix"), "words").distinct()
 
 
-def match(posts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``posts`` with qid and query term, for equal terms and, by equality of the leading characters, for prefixes."""
-    exact = posts.join(terms.where("NOT is_prefix").select("qid", F.col("term").alias("q")), F.col("term") == F.col("q"))
-    stems = terms.where("is_prefix").select("qid", F.col("term").alias("q"), F.length("term").alias("n"))
-    # The few distinct prefix lengths cut each posting's term; the join stays an equality join.
-    sizes = stems.agg(F.sort_array(F.collect_set("n")).alias("sizes"))
-    cut = posts.join(F.broadcast(sizes)).select(*posts.columns, F.explode("sizes").alias("n")).where(F.length("term") >= F.col("n"))
-    by_prefix = cut.withColumn("start", F.substring("term", F.lit(1), F.col("n"))).join(stems, (F.col("start") == F.col("q")) & (cut["n"] == stems["n"]))
-    columns = ["qid", "q", *posts.columns]
-    return exact.select(columns).unionByName(by_prefix.select(columns))
+FEW = 1000  # query terms that go into a filter of the postings' scan
+BROADCAST_TERMS = 200_000  # rows of queries' terms that are sent to every task
 
 
-def bm25(matched: DataFrame, chunk_lengths: DataFrame, stats: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
-    """(qid, document_id, chunk_no, rank): weighted BM25 as a negative number, the best first in ascending order.
+def _units(terms: DataFrame) -> DataFrame:
+    """(q, is_prefix, words) of the distinct terms of all queries."""
+    words = F.col("words") if "words" in terms.columns else F.array("term")
+    return terms.select(F.col("term").alias("q"), "is_prefix", words.alias("words")).distinct()
 
-    Rounded to 12 places, so that the order of summing doesn't break ties.
-    """
-    kinds = [r for r in WEIGHTS if params.weights is None or r in params.weights]
+
+def match(posts: DataFrame, units: DataFrame, params: SearchParams = SearchParams(), prefixes: bool = True, phrases: bool = True) -> DataFrame:
+    """(q, is_prefix, document_id, chunk_no, n_terms, f): the weighted frequency of each term, prefix or phrase in each chunk."""
+    kinds = [c for c in WEIGHTS if params.weights is None or c in params.weights]
     table = F.create_map(*[x for c in kinds for x in (F.lit(c), F.lit(float(params.weight(c))))])
-    tf = matched.groupBy("qid", "q", *KEY).agg(F.sum(F.element_at(table, F.col("col"))).alias("f"))
-    df = tf.groupBy("qid", "q").agg(F.count("*").alias("n_q"))
-    scored = tf.join(df, ["qid", "q"]).join(chunk_lengths, KEY).join(F.broadcast(stats))
+    columns = ["q", "is_prefix", *KEY, "n_terms", "col"]
+    single = units.where("size(words) = 1")
+    found = posts.join(single.where("NOT is_prefix").select("q", "is_prefix"), F.col("term") == F.col("q")).select(columns)
+    if prefixes:
+        stems = single.where("is_prefix").select("q", "is_prefix", F.length("q").alias("n"))
+        # The few distinct prefix lengths (one row) cut each posting's term; the join stays an equality join.
+        sizes = stems.agg(F.sort_array(F.collect_set("n")).alias("sizes"))
+        cut = posts.join(F.broadcast(sizes)).select(*posts.columns, F.explode("sizes").alias("n")).where(F.length("term") >= F.col("n"))
+        by_prefix = cut.withColumn("start", F.substring("term", F.lit(1), F.col("n"))).join(stems, (F.col("start") == F.col("q")) & (cut["n"] == stems["n"]))
+        found = found.unionByName(by_prefix.select(columns))
+    if phrases:
+        words = units.where("size(words) > 1").select("q", "is_prefix", F.size("words").alias("size"), F.posexplode("words").alias("at", "word"))
+        held = posts.join(words, F.col("term") == F.col("word")).groupBy("q", "is_prefix", *KEY, "n_terms", "col", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("n"))
+        found = found.unionByName(held.where("n = size").select(columns))
+    return found.groupBy("q", "is_prefix", *KEY, "n_terms").agg(F.sum(F.element_at(table, F.col("col"))).alias("f"))
+
+
+def bm25(matched: DataFrame, stats: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
+    """(q, is_prefix, document_id, chunk_no, part): what each term adds to a chunk's weighted BM25."""
+    df = matched.groupBy("q", "is_prefix").agg(F.count("*").alias("n_q"))
+    scored = matched.join(df, ["q", "is_prefix"]).join(F.broadcast(stats))  # one row
     idf = F.log((F.col("n_rows") - F.col("n_q") + 0.5) / (F.col("n_q") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     norm = params.k1 * (1 - params.b + params.b * F.col("n_terms") / F.col("avg_terms"))
-    part = idf * F.col("f") * (params.k1 + 1) / (F.col("f") + norm)
-    return scored.groupBy("qid", *KEY).agg(F.round(-F.sum(part), 12).alias("rank"))
+    return scored.select("q", "is_prefix", *KEY, (idf * F.col("f") * (params.k1 + 1) / (F.col("f") + norm)).alias("part"))
 
 
-def with_details(ranked: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    about = documents.select("document_id", "source_path", "category", "document_date")
-    return ranked.join(chunks, KEY).join(about, "document_id")
+def parts(held: Index, terms: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
+    """(q, is_prefix, document_id, chunk_no, part) of all terms of the queries; few ones filter the postings where they are scanned."""
+    units = _units(terms)
+    few = units.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        posts = restrict(held.postings, [(w, r.is_prefix and len(r.words) == 1) for r in few for w in r.words])
+        prefixes, phrases = any(r.is_prefix and len(r.words) == 1 for r in few), any(len(r.words) > 1 for r in few)
+    else:
+        posts = held.postings
+        prefixes, phrases = units.agg(F.max("is_prefix"), F.max(F.size("words") > 1)).first()
+    return bm25(match(posts, units, params, prefixes, phrases), held.corpus, params)
+
+
+def scores(each: DataFrame, terms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(qid, document_id, chunk_no, rank) from ``parts``: BM25 as a negative number, the best first in ascending order; ``by`` names further columns of a chunk.
+
+    Rounded to 12 places, so that the order of summing doesn't break ties.
+    """
+    wanted = terms.select("qid", F.col("term").alias("q"), "is_prefix").distinct()
+    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        # Dealt by chunk, all of a chunk's terms meet its queries in one place; nothing is dealt anew for the sum.
+        each, wanted = each.repartition(*KEY), F.broadcast(wanted)
+    return each.join(wanted, ["q", "is_prefix"]).groupBy("qid", *KEY, *by).agg(F.round(-F.sum("part"), 12).alias("rank"))
 
 
 @dataclass(frozen=True)
@@ -185,9 +241,12 @@ def rank_results(hits: DataFrame, params: SearchParams = SearchParams()) -> Data
 
 def search(chunks: DataFrame, documents: DataFrame, terms: DataFrame, filters: Filters = Filters(), params: SearchParams = SearchParams(), held: Index | None = None) -> DataFrame:
     """Ranked, capped hits of every query, with the chunk's and the document's columns; ``held`` is a written index of ``chunks``."""
-    held = held or index(chunks)
-    scored = bm25(match(held.postings, terms), held.lengths, held.corpus, params)
-    return rank_results(apply_filters(with_details(scored, chunks, documents), filters), params)
+    about = documents.select("document_id", "source_path", "category", "document_date")
+    allowed = apply_filters(chunks.select(*KEY, "kind", "section_path").join(about, "document_id"), filters).select(*KEY, "kind", "document_date")
+    each = parts(held or index(chunks), terms, params).repartition(*KEY).join(allowed, KEY)
+    top = rank_results(scores(each, terms, ("kind", "document_date")), params)
+    rest = chunks.select(*KEY, *[c for c in chunks.columns if c not in (*KEY, "kind")])
+    return top.join(rest, KEY).join(about.drop("document_date"), "document_id")
 
 
 def phrase(posts: DataFrame, words: Sequence[str]) -> DataFrame:

@@ -106,8 +106,7 @@ def search_top(spark, sf_dir):
 @_query(f"WITH {_scored(_WORDS_SQL)} SELECT document_id, chunk_no, round(rank, 9) AS rank FROM hits")
 def search_all_scores(spark, sf_dir):
     chunks, _ = _data(spark, sf_dir)
-    size = s.lengths(chunks)
-    return s.bm25(s.match(s.postings(chunks), _words(spark)), size, s.corpus(size)).select("document_id", "chunk_no", F.round("rank", 9).alias("rank"))
+    return s.scores(s.parts(s.index(chunks), _words(spark)), _words(spark)).select("document_id", "chunk_no", F.round("rank", 9).alias("rank"))
 
 
 _FILTERED = "kind <> 'meta' AND category = 'en' AND kind IN ('section', 'fact') AND lower(section_path) LIKE 'src1%' AND document_date BETWEEN '2024-02-01' AND '2024-11-30'"

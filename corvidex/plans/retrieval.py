@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, functions as F
@@ -30,11 +30,9 @@ class Response:
 
 
 def retrieve(chunks: DataFrame, documents: DataFrame, request: Request, held: s.Index | None = None) -> Response:
-    """Answer one request; its few compiled terms go to the driver, to filter the postings where they are scanned."""
+    """Answer one request; its few compiled terms filter the postings where they are scanned."""
     terms = s.compile_query(chunks.sparkSession, {0: request.query}, request.params)
-    held = held or s.index(chunks)
-    own = s.restrict(held.postings, [(r.term, r.is_prefix) for r in terms.collect()])
-    hits = s.search(chunks, documents, terms, request.filters, request.params, replace(held, postings=own))
+    hits = s.search(chunks, documents, terms, request.filters, request.params, held)
     around = s.neighbours(hits, chunks, request.neighbour_width) if request.neighbour_width > 0 else None
     whole = s.full_text(hits, documents) if request.with_full_text else None
     return Response(terms, hits, s.group_by_document(hits), around, whole)

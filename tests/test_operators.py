@@ -45,8 +45,8 @@ def test_bm25_equals_sqlite(spark, small, query, match):
         db.execute("INSERT INTO f VALUES (?, ?, ?, ?)", (r.text, r.heading, r.section_path, r.tags_text))
     expected = {keys[i - 1]: x for i, x in db.execute("SELECT rowid, bm25(f, 1.0, 2.5, 2.0, 3.5) FROM f WHERE f MATCH ?", (match,))}
     terms = [(0, t.rstrip("*"), t.endswith("*")) for t in match.split(" OR ")]
-    size = s.lengths(chunks)
-    got = ranks(s.bm25(s.match(s.postings(chunks), spark.createDataFrame(terms, "qid long, term string, is_prefix boolean")), size, s.corpus(size), s.SearchParams(OLD)))
+    terms = spark.createDataFrame(terms, "qid long, term string, is_prefix boolean")
+    got = ranks(s.scores(s.parts(s.index(chunks), terms, s.SearchParams(OLD)), terms))
     assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
 
 
