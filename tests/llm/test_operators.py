@@ -404,7 +404,7 @@ def test_a_long_chain_costs_in_proportion(spark):
     docs = jaccard_join._keyed(frame(spark, rows)).mapInArrow(jaccard_join._labels(params), "doc_id long, k1 long, k2 long, size long, nodes array<long>, rests array<long>")
     entries = docs.selectExpr("doc_id AS c", "size", "explode(nodes) AS node")
     cells = jaccard_join._cells(entries.select("node", "c"), docs.selectExpr("doc_id AS c", "size"), params)
-    assert cells.count() < 40 * len(rows)
+    assert cells.count() < 10 * len(rows)
     got = {r.doc_id: (r.n_links, r.group_id) for r in jaccard_join.jaccard_join(frame(spark, rows), params).collect()}
     # 86 shingles each; two neighbours a side share 78 or more of 94 at most.
     assert got == {k: (min(k, 2) + min(699 - k, 2), 0) for k in range(700)}
