@@ -3,9 +3,10 @@
 The tokenizer's byte-level pre-tokens are found by their public split pattern.
 One pass counts how often each pre-token occurs; each distinct one is encoded
 once. The ``head`` most frequent pre-tokens with their piece counts are
-broadcast (a bounded table) and summed where the text is read; a document's
-remaining pre-tokens are joined to the piece table by shuffle and summed by
-document. No token ids are kept.
+broadcast (a bounded table, in which long ones stand by their digest) and summed
+where the text is read; a document's remaining pre-tokens, none of them frequent,
+are joined to the piece table by shuffle and summed by document. No token ids
+are kept.
 
 Defined cases: a null or empty text has no tokens; a special token's own string
 inside a text counts one token, as the library does by default; rows keep their
@@ -18,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import md5
 
 import pyarrow as pa
 import regex
@@ -34,7 +36,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 class TokenCountParams:
     tokenizer: str  # path of a byte-level tokenizer file, readable on every executor
     head: int = 200_000  # pre-tokens broadcast at most
-    max_head_chars: int = 40  # longer pre-tokens are joined by shuffle, which bounds the broadcast
+    max_head_chars: int = 40  # longer pre-tokens are broadcast as their 128-bit digest, which bounds the table
     limit: int = 1024
     memo: int = 300_000  # distinct chunks remembered by a worker at most
 
@@ -123,23 +125,25 @@ def piece_counts(pretokens: DataFrame, params: TokenCountParams) -> DataFrame:
     return pretokens.mapInArrow(run, "pretoken string, n long, pieces long")
 
 
-def _head(pieces: DataFrame, params: TokenCountParams) -> dict[str, int]:
-    """The most frequent pre-tokens with their pieces: all above the frequency that leaves at most ``head``.
+def _head(pieces: DataFrame, params: TokenCountParams) -> tuple[dict[str, int], dict[str, int]]:
+    """The most frequent pre-tokens with their pieces, long ones by digest apart: all above the frequency that leaves at most ``head``.
 
     The frequency comes from a histogram of a bounded number of steps, so that
     the driver receives no more than the head itself.
     """
-    short = pieces.where(F.length("pretoken") <= params.max_head_chars).withColumn("step", F.floor(F.log2("n") * 32))
+    stepped = pieces.withColumn("step", F.floor(F.log2("n") * 32))
     total, least = 0, None
-    for r in sorted(short.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
+    for r in sorted(stepped.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
         total += r["words"]
         if total > params.head:
             break
         least = r["step"]
     if least is None:
-        return {}
-    head = short.where(F.col("step") >= least).select("pretoken", "pieces").toArrow()
-    return dict(zip(head["pretoken"].to_pylist(), head["pieces"].to_pylist(), strict=True))
+        return {}, {}
+    long = F.length("pretoken") > params.max_head_chars
+    head = stepped.where(F.col("step") >= least).select(F.when(long, F.md5(F.encode("pretoken", "utf-8"))).otherwise(F.col("pretoken")).alias("key"), long.alias("long"), "pieces").toArrow()
+    rows = list(zip(head["key"].to_pylist(), head["long"].to_pylist(), head["pieces"].to_pylist(), strict=True))
+    return {k: n for k, is_long, n in rows if not is_long}, {k: n for k, is_long, n in rows if is_long}
 
 
 def count_tokens(documents: DataFrame, params: TokenCountParams) -> DataFrame:
@@ -151,15 +155,19 @@ def count_tokens(documents: DataFrame, params: TokenCountParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, special = _splitter(params.tokenizer)
-        values = known.value
+        short, long = known.value
+
+        def pieces_of(x: str) -> int | None:
+            return short.get(x) if len(x) <= params.max_head_chars else long.get(md5(x.encode()).hexdigest())
+
         memo: dict[str, tuple[int, tuple[str, ...]]] = {}
 
         def look(chunk: str) -> tuple[int, tuple[str, ...]]:
-            got = [(values.get(x), x) for x in split.findall(chunk)]
+            got = [(pieces_of(x), x) for x in split.findall(chunk)]
             return sum(n for n, _ in got if n is not None), tuple(x for n, x in got if n is None)
 
         for b in batches:
-            done, rest = [], []
+            done, tails, counts, ends = [], [], [], [0]
             for value in b.column("text"):
                 text, total, tail = value.as_py() or "", 0, Counter()
                 after, plain, found = chunks(text, special)
@@ -176,9 +184,11 @@ def count_tokens(documents: DataFrame, params: TokenCountParams) -> DataFrame:
                     total += n
                     tail.update(more)
                 done.append(total + found)
-                rest.append([{"pretoken": y, "n": n} for y, n in tail.items()])
-            tail_type = pa.list_(pa.struct([("pretoken", pa.string()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(done, pa.int64()), pa.array(rest, tail_type)], ["doc_id", "n_bytes", "n_known", "tail"])
+                tails.extend(tail)
+                counts.extend(tail.values())
+                ends.append(len(tails))
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(tails, pa.string()), pa.array(counts, pa.int64())], ["pretoken", "n"]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(done, pa.int64()), rest], ["doc_id", "n_bytes", "n_known", "tail"])
 
     texts = documents.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     read = texts.mapInArrow(run, "doc_id long, n_bytes long, n_known long, tail array<struct<pretoken:string,n:long>>")

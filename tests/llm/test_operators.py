@@ -477,6 +477,15 @@ def test_token_counts_equal_the_library(spark, paths):
     assert token_counts.count_tokens(frame(spark, []), token_counts.TokenCountParams(paths("byte_bpe_50k.json"))).count() == 0
 
 
+def test_a_frequent_long_pretoken_is_broadcast(spark, paths):
+    params = token_counts.TokenCountParams(paths("byte_bpe_50k.json"), head=50)
+    rows = [(k, f"word{'abcdefghij'[k % 10]} {'-' * 200} {words(k, 9)}") for k in range(90)]
+    pieces = token_counts.piece_counts(token_counts.count_pretokens(frame(spark, rows), params), params)
+    short, long = token_counts._head(pieces, params)
+    assert long == {hashlib.md5((" " + "-" * 200).encode()).hexdigest(): len(token_counts._tokenizer(params.tokenizer).encode(" " + "-" * 200).ids)}
+    assert all(len(x) <= 40 for x in short)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab1 \n\t'.é<|>endoftx漢\u0301\u00a0\u2003", max_size=30))
 def test_chunks_hold_the_same_pretokens(text):
