@@ -19,12 +19,14 @@ ALIASES = {
 }
 
 # Stop words of tags.
-STOPWORDS = """для при или что это как его ее из по на от до за без под над про через между около вдоль после
-the and for with not are was were""".split()
+STOPWORDS = [
+    "для", "при", "или", "что", "это", "как", "его", "ее", "из", "по", "на", "от", "до", "за", "без", "под", "над", "про", "через", "между", "около", "вдоль", "после", "the", "and", "for", "with", "not", "are", "was", "were",
+]
 
 # Units of measurement, whole and as patterns.
-UNITS = """кг г мг мкг нг л мл мм см м рт.ст мс мсек сек мин ч % уд/мин ммоль/л мкмоль/л нг/мл пг/мл ед/л ме/мл мме/мл мкме/мл
-mg ml kg cm mm mg/ml ml/kg ng/ml pg/ml""".split()
+UNITS = [
+    "кг", "г", "мг", "мкг", "нг", "л", "мл", "мм", "см", "м", "рт.ст", "мс", "мсек", "сек", "мин", "ч", "%", "уд/мин", "ммоль/л", "мкмоль/л", "нг/мл", "пг/мл", "ед/л", "ме/мл", "мме/мл", "мкме/мл", "mg", "ml", "kg", "cm", "mm", "mg/ml", "ml/kg", "ng/ml", "pg/ml",
+]
 UNIT_PATTERNS = ["^(мк)?ме/мл$", "^(мк)?моль/л$", "^(пг|нг|мг|мкг)/мл$", "^ед/л$"]
 
 # Document categories.

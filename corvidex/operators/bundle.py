@@ -54,15 +54,21 @@ def tool_excerpts(hits: DataFrame, budget: int) -> DataFrame:
     return each.select("qid", "pos", tx.cut_middle(F.col("excerpt"), F.col("room")).alias("excerpt"))
 
 
+# Titles of the sections of a tool's answer, and its text without a match.
+TOP_TITLE = "## Top Matches\n\n"
+MORE_TITLE = "\n\n## Additional Matches\n\n"
+NO_MATCH = 'No matches found for query: "{query}"'
+
+
 def tool_result(excerpts: DataFrame) -> DataFrame:
     """(qid, result): the best match, then the others, as one text for each query; queries without a match have no row."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "excerpt"))), lambda x: x["excerpt"])
     each = excerpts.groupBy("qid").agg(ordered.alias("e"))
-    more = F.when(F.size("e") > 1, F.concat(F.lit("\n\n## Additional Matches\n\n"), F.array_join(F.slice("e", F.lit(2), F.size("e")), "\n\n"))).otherwise("")
-    return each.select("qid", F.concat(F.lit("## Top Matches\n\n"), F.get("e", F.lit(0)), more).alias("result"))
+    more = F.when(F.size("e") > 1, F.concat(F.lit(MORE_TITLE), F.array_join(F.slice("e", F.lit(2), F.size("e")), "\n\n"))).otherwise("")
+    return each.select("qid", F.concat(F.lit(TOP_TITLE), F.get("e", F.lit(0)), more).alias("result"))
 
 
 def no_match(query: str) -> str:
-    return f'No matches found for query: "{query}"'
+    return NO_MATCH.replace("{query}", query)
 
 

@@ -28,9 +28,12 @@ def list_docs(documents: DataFrame, chunks: DataFrame, limit: int, from_date: st
     return newest.join(top_sections(held), "document_id", "left").withColumn("sections", F.coalesce("sections", F.array().cast("array<string>")))
 
 
-def document_chunks(chunks: DataFrame, document_id: object, limit: int, include_meta: bool = False) -> DataFrame:
-    own = chunks.where(F.col("document_id") == document_id)
-    return (own if include_meta else own.where("kind <> 'meta'")).orderBy("chunk_no").limit(limit)
+def document_chunks(chunks: DataFrame, document_id: object | None, limit: int, include_meta: bool = False) -> DataFrame:
+    """The first ``limit`` chunks of a document; of each document, if none is named."""
+    own = chunks if document_id is None else chunks.where(F.col("document_id") == document_id)
+    own = own if include_meta else own.where("kind <> 'meta'")
+    n = F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_no"))
+    return own.withColumn("__n", n).where(F.col("__n") <= limit).drop("__n")
 
 
 def category_counts(documents: DataFrame) -> DataFrame:
@@ -59,7 +62,7 @@ def find_by_hash(documents: DataFrame, sha256: str) -> DataFrame:
     return documents.where(F.col("source_sha256") == sha256).orderBy("document_id").limit(1)
 
 
-def section_filter(chunks: DataFrame, document_id: object, sections: list[str]) -> DataFrame:
-    """A document's chunks whose top section, in lower case, is among ``sections``; those without a section go."""
-    own = chunks.where(F.col("document_id") == document_id)
+def section_filter(chunks: DataFrame, document_id: object | None, sections: list[str]) -> DataFrame:
+    """A document's chunks, or all chunks, whose top section, in lower case, is among ``sections``; those without a section go."""
+    own = chunks if document_id is None else chunks.where(F.col("document_id") == document_id)
     return own.where(F.lower(tx.top_section(F.col("section_path"))).isin([s.lower() for s in sections]))

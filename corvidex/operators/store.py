@@ -13,8 +13,9 @@ def last_of_each(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return rows.withColumn("__n", n).where("`__n` = 1").drop("__n")
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``new`` rows in place of those with equal keys."""
+def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """``new`` rows in place of those with equal keys; of new rows with equal keys, the one with the greatest ``order`` counts, if it is named."""
+    new = new if order is None else last_of_each(new, keys, order)
     return existing.join(new.select(*keys), list(keys), "left_anti").unionByName(new.select(existing.columns))
 
 
@@ -45,3 +46,15 @@ def replace_messages(existing: DataFrame, new: DataFrame) -> DataFrame:
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
     """(chunk_id, n) of ids that occur more than once, which a store of unique ids rejects."""
     return chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def upsert_profile(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """A store of one profile for each owner: the new one replaces it; lists are kept as JSON arrays."""
+    lists = {f"{c}_json": F.coalesce(F.to_json(c), F.lit("[]")) for c in ("chronic_conditions", "current_medications", "allergies")}
+    stored = new.select("owner", "name", "age", "sex", "date_of_birth", *[v.alias(k) for k, v in lists.items()])
+    return upsert(existing, stored, ["owner"])
+
+
+def read_profile(stored: DataFrame) -> DataFrame:
+    lists = [F.from_json(f"{c}_json", "array<string>").alias(c) for c in ("chronic_conditions", "current_medications", "allergies")]
+    return stored.select("owner", "name", "age", "sex", "date_of_birth", *lists)

@@ -211,9 +211,9 @@ def list_docs(spark, sf_dir):
     return listed.select("document_id", "document_date", "category", tx.index_line(F.col("document_id"), F.col("document_date"), F.col("category"), F.col("sections")).alias("line"))
 
 
-@_query(f"WITH {_CHUNKS} SELECT chunk_no, kind, text FROM chunks WHERE document_id = 8 AND kind <> 'meta' ORDER BY chunk_no LIMIT 20")
+@_query(f"WITH {_CHUNKS} SELECT document_id, chunk_no, kind, text FROM chunks WHERE kind <> 'meta' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY chunk_no) <= 20")
 def document_chunks(spark, sf_dir):
-    return catalog.document_chunks(corpus.chunks(spark, sf_dir), 8, 20).select("chunk_no", "kind", "text")
+    return catalog.document_chunks(corpus.chunks(spark, sf_dir), None, 20).select("document_id", "chunk_no", "kind", "text")
 
 
 @_query(f"WITH {_DOCS} SELECT category, count(*) AS n FROM docs GROUP BY ALL")
@@ -413,7 +413,7 @@ _LEVELS = ", ".join(f"max(CASE WHEN h AND level = {k} THEN pos END) OVER w AS p{
 
 
 @_query(
-    f"""WITH {_CHUNKS}, b AS (SELECT document_id, chunk_no AS pos, chunk_no % 4 = 0 AS h, 1 + (chunk_no // 4) % 3 AS level, left(text, 20) AS content FROM chunks),
+    f"""WITH {_CHUNKS}, b AS (SELECT document_id, chunk_no AS pos, chunk_no % 4 = 0 AS h, 1 + (chunk_no // 4) % 3 AS level, text AS content FROM chunks),
 x AS (SELECT *, {_LEVELS} FROM b WINDOW w AS (PARTITION BY document_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
 y AS (SELECT document_id, pos, content, t1 AS a, CASE WHEN p2 > coalesce(p1, -1) THEN t2 END AS b, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN t3 END AS c FROM x WHERE NOT h)
 SELECT document_id, pos, content, concat_ws(' > ', a, b, c) AS section_path, coalesce(c, b, a) AS heading FROM y"""
@@ -422,7 +422,7 @@ def section_paths(spark, sf_dir):
     """Lines as blocks: every fourth line is a heading of level 1 to 3."""
     c = corpus.chunks(spark, sf_dir)
     n = F.col("chunk_no")
-    blocks = c.select("document_id", n.alias("pos"), F.when(n % 4 == 0, "heading").otherwise("paragraph").alias("type"), (1 + F.floor(n / 4) % 3).alias("level"), F.left("text", F.lit(20)).alias("content"))
+    blocks = c.select("document_id", n.alias("pos"), F.when(n % 4 == 0, "heading").otherwise("paragraph").alias("type"), (1 + F.floor(n / 4) % 3).alias("level"), F.col("text").alias("content"))
     return ingest.section_paths(blocks).select("document_id", "pos", "content", "section_path", "heading")
 
 
