@@ -66,3 +66,9 @@ INNER_CHARS = ",.:;!?\"'"
 
 # The mark in the middle of a cut excerpt.
 CUT_MARK = "\n…[truncated]…\n"
+
+# Combining marks that the full-text index drops.
+COMBINING_MARKS = (
+    "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030a\u030b\u030c\u030f\u0311"
+    "\u031b\u0323\u0324\u0325\u0326\u0327\u0328\u032d\u032e\u0330\u0331"
+)

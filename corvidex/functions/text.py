@@ -44,9 +44,34 @@ def query_tokens(text: Column) -> Column:
     return F.filter(words, lambda t: (t != "") & ~t.rlike(r"(?U)^\d+$"))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters that the index folds, and what each becomes.
+
+    A letter of a Latin base and one mark becomes its base (of two marks it
+    stays), and a variant of a letter below U+0400 the letter it folds to.
+    """
+    found = {}
+    for c in map(chr, [*range(0x80, 0x400), *range(0x1E00, 0x1F00)]):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha():
+            found[c] = parts[0].lower()
+        elif c < "\u0400" and c == c.lower() and len(c.casefold()) == 1 and c.casefold() != c:
+            found[c] = c.casefold()
+    return "".join(found), "".join(found.values())
+
+
+_MARKED, _PLAIN = _plain_letters()
+
+
+def without_accents(text: Column) -> Column:
+    """``text``, in lower case already, with Latin letters bare and combining marks gone; texts in ASCII pass as they are."""
+    bare = F.translate(text, _MARKED + fixed.COMBINING_MARKS, _PLAIN)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(text)
+
+
 def index_tokens(text: Column) -> Column:
-    """Terms of the full-text index: runs of letters and numbers, lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Terms of the full-text index: runs of letters and numbers, lower case, Latin letters without accents."""
+    return F.regexp_extract_all(without_accents(F.lower(F.coalesce(text, F.lit("")))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def expand(tokens: Column, aliases: Mapping[str, Sequence[str]] = fixed.ALIASES) -> Column:

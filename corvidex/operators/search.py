@@ -71,6 +71,7 @@ class Index:
     postings: DataFrame
     lengths: DataFrame
     corpus: DataFrame
+    terms: DataFrame | None = None  # a written index has its distinct terms, sorted
 
 
 def index(chunks: DataFrame) -> Index:
@@ -141,20 +142,39 @@ def _units(terms: DataFrame) -> DataFrame:
     return terms.select(F.col("term").alias("q"), "is_prefix", words.alias("words")).distinct()
 
 
-def match(posts: DataFrame, units: DataFrame, params: SearchParams = SearchParams(), prefixes: bool = True, phrases: bool = True) -> DataFrame:
-    """(q, is_prefix, document_id, chunk_no, n_terms, f): the weighted frequency of each term, prefix or phrase in each chunk."""
+def prefix_terms(terms: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, term) of the distinct ``terms`` that begin with one of ``starts``: joined by as many letters as the shortest has, then compared."""
+    starts = starts.distinct()
+    shortest = F.broadcast(starts.agg(F.min(F.length("start")).alias("n")))  # one row
+    wanted = starts.join(shortest).select("start", F.left("start", F.col("n")).alias("head"))
+    known = terms.select("term").distinct().join(shortest).select("term", F.left("term", F.col("n")).alias("head"))
+    return known.join(wanted, "head").where(F.startswith("term", "start")).select("start", "term")
+
+
+def with_starts(posts: DataFrame, starts: Sequence[str]) -> DataFrame:
+    """``posts`` once for each of a few ``starts`` that its term begins with, as ``start``. No shuffle."""
+    held = F.filter(F.array(*map(F.lit, starts)), lambda x: F.startswith(F.col("term"), x))
+    return posts.select("*", F.explode(held).alias("start"))
+
+
+def match(posts: DataFrame, units: DataFrame, params: SearchParams = SearchParams(), starts: Sequence[str] | None = None, phrases: bool = True, terms: DataFrame | None = None) -> DataFrame:
+    """(q, is_prefix, document_id, chunk_no, n_terms, f): the weighted frequency of each term, prefix or phrase in each chunk.
+
+    ``starts`` are the prefixes, if they are few; many are looked up in the
+    distinct ``terms`` first, and only theirs meet the postings.
+    """
     kinds = [c for c in WEIGHTS if params.weights is None or c in params.weights]
     table = F.create_map(*[x for c in kinds for x in (F.lit(c), F.lit(float(params.weight(c))))])
     columns = ["q", "is_prefix", *KEY, "n_terms", "col"]
     single = units.where("size(words) = 1")
     found = posts.join(single.where("NOT is_prefix").select("q", "is_prefix"), F.col("term") == F.col("q")).select(columns)
-    if prefixes:
-        stems = single.where("is_prefix").select("q", "is_prefix", F.length("q").alias("n"))
-        # The few distinct prefix lengths (one row) cut each posting's term; the join stays an equality join.
-        sizes = stems.agg(F.sort_array(F.collect_set("n")).alias("sizes"))
-        cut = posts.join(F.broadcast(sizes)).select(*posts.columns, F.explode("sizes").alias("n")).where(F.length("term") >= F.col("n"))
-        by_prefix = cut.withColumn("start", F.substring("term", F.lit(1), F.col("n"))).join(stems, (F.col("start") == F.col("q")) & (cut["n"] == stems["n"]))
-        found = found.unionByName(by_prefix.select(columns))
+    if starts is None or len(starts):
+        if starts is None:
+            known = prefix_terms(posts if terms is None else terms, single.where("is_prefix").select(F.col("q").alias("start")))
+            begun = posts.join(known, "term")
+        else:
+            begun = with_starts(posts, starts)
+        found = found.unionByName(begun.select(F.col("start").alias("q"), F.lit(True).alias("is_prefix"), *columns[2:]))
     if phrases:
         words = units.where("size(words) > 1").select("q", "is_prefix", F.size("words").alias("size"), F.posexplode("words").alias("at", "word"))
         held = posts.join(words, F.col("term") == F.col("word")).groupBy("q", "is_prefix", *KEY, "n_terms", "col", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("n"))
@@ -178,11 +198,12 @@ def parts(held: Index, terms: DataFrame, params: SearchParams = SearchParams())
     few = units.limit(FEW + 1).collect()
     if len(few) <= FEW:
         posts = restrict(held.postings, [(w, r.is_prefix and len(r.words) == 1) for r in few for w in r.words])
-        prefixes, phrases = any(r.is_prefix and len(r.words) == 1 for r in few), any(len(r.words) > 1 for r in few)
+        starts, phrases = [r.q for r in few if r.is_prefix and len(r.words) == 1], any(len(r.words) > 1 for r in few)
     else:
         posts = held.postings
         prefixes, phrases = units.agg(F.max("is_prefix"), F.max(F.size("words") > 1)).first()
-    return bm25(match(posts, units, params, prefixes, phrases), held.corpus, params)
+        starts = None if prefixes else []
+    return bm25(match(posts, units, params, starts, phrases, held.terms), held.corpus, params)
 
 
 def scores(each: DataFrame, terms: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvidex.functions import control, text as tx
-from corvidex.operators import bundle, catalog, dialogue, ingest, search as s, store
+from corvidex.operators import bundle, catalog, dialogue, expressions, ingest, search as s, store
 from corvidex.plans import retrieval
 from corvidex.sources import corpus
 
@@ -34,7 +34,7 @@ _TERM = r"'[\p{L}\p{N}]+'"
 
 
 def _terms(column: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({column}, '')), {_TERM})"
+    return f"regexp_extract_all(strip_accents(lower(coalesce({column}, ''))), {_TERM})"
 
 
 _POSTS = "posts AS (" + " UNION ALL ".join(f"SELECT document_id, chunk_no, '{c}' AS col, {w} AS w, unnest({_terms(c)}) AS term, unnest(range(0, len({_terms(c)}))) AS pos FROM chunks" for c, w in s.WEIGHTS.items()) + ")"
@@ -163,6 +163,26 @@ def search_all_terms(spark, sf_dir):
     return s.all_terms(s.postings(corpus.chunks(spark, sf_dir)), ["the", "of", "in"], "text")
 
 
+_LEAF = "SELECT qid, {n} AS leaf, p.document_id, p.chunk_no, sum(p.w) AS f FROM posts p JOIN w ON {on} GROUP BY ALL"
+_LEAVES_SQL = f"""w AS (SELECT item_id AS qid, {_terms('text')} AS t FROM benchmark WHERE len({_terms('text')}) >= 6),
+leaves AS (SELECT qid, 0 AS leaf, p.document_id, p.chunk_no, sum(p.w) AS f FROM posts p JOIN posts r ON r.document_id = p.document_id AND r.chunk_no = p.chunk_no AND r.col = p.col AND r.pos = p.pos + 1 JOIN w ON p.term = t[1] AND r.term = t[2] GROUP BY ALL
+ UNION ALL {_LEAF.format(n=1, on="p.term = t[3]")} UNION ALL {_LEAF.format(n=2, on="p.term = t[4] AND p.col = 'text'")}
+ UNION ALL {_LEAF.format(n=3, on="starts_with(p.term, t[5])")} UNION ALL {_LEAF.format(n=4, on="p.term = t[6]")}),
+freq AS (SELECT qid, leaf, count(*) AS n_q FROM leaves GROUP BY ALL),
+idf AS (SELECT qid, leaf, CASE WHEN ln((n_rows - n_q + 0.5) / (n_q + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_rows - n_q + 0.5) / (n_q + 0.5)) END AS idf FROM freq, stats),
+part AS (SELECT l.*, idf * f * CAST(2.2 AS DOUBLE) / (f + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * n_terms / avg_terms)) AS part FROM leaves l JOIN idf USING (qid, leaf) JOIN sizes USING (document_id, chunk_no), stats)"""
+
+
+@_query(f"WITH {_CHUNKS}, {_POSTS}, {_STATS}, {_LEAVES_SQL} SELECT qid, document_id, chunk_no, round(-sum(part), 9) AS rank FROM part GROUP BY ALL HAVING bool_or(leaf IN (0, 1)) AND bool_or(leaf IN (2, 3)) AND NOT bool_or(leaf = 4)")
+def search_expressions(spark, sf_dir):
+    """For each benchmark item, a phrase or a word, and a word of the text or a prefix, but not a sixth word."""
+    t = tx.index_tokens(F.col("text"))
+    form = F.format_string('("%s %s" OR %s) AND (text : %s OR %s*) NOT %s', *[F.get(t, i) for i in range(6)])
+    queries = corpus.table(spark, sf_dir, "benchmark").where(F.size(t) >= 6).select(F.col("item_id").alias("qid"), form.alias("query"))
+    found = expressions.search_expressions(s.index(corpus.chunks(spark, sf_dir)), queries)
+    return found.select("qid", "document_id", "chunk_no", F.round("rank", 9).alias("rank"))
+
+
 @_query(f"WITH {_DOCS}, {_CHUNKS}, {_POSTS} SELECT category, count(*) AS n FROM docs WHERE document_id IN (SELECT document_id FROM posts WHERE term = 'attion') GROUP BY ALL")
 def documents_matching(spark, sf_dir):
     chunks, docs = _data(spark, sf_dir)
