@@ -79,33 +79,23 @@ def index(chunks: DataFrame) -> Index:
     return Index(postings(chunks), size, corpus(size))
 
 
-def _write(made: Index, path: str) -> None:
-    made.postings.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.mode("overwrite").parquet(f"{path}/postings")
-    made.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+def write_parts(posts: DataFrame, sizes: DataFrame, path: str) -> None:
+    """Write postings dealt and sorted by term, so that a query reads the row groups of its terms alone, and the distinct terms."""
+    posts.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.mode("overwrite").parquet(f"{path}/postings")
+    sizes.write.mode("overwrite").parquet(f"{path}/lengths")
+    stored = posts.sparkSession.read.parquet(f"{path}/postings")
+    stored.groupBy("term").agg(F.count("*").alias("n_postings")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def write_index(chunks: DataFrame, path: str) -> None:
-    """Write the index of ``chunks``: postings dealt and sorted by term, so that a query reads the row groups of its terms alone."""
-    _write(index(chunks), path)
+    """Write the index of ``chunks``, which ``read_index`` reads; an index that changes is kept in segments."""
+    made = index(chunks)
+    write_parts(made.postings, made.lengths, path)
 
 
-def write_change(chunks: DataFrame, ids: DataFrame, path: str) -> None:
-    """Write a change of an index: the documents ``ids`` are replaced by what ``chunks`` holds of them, or go.
-
-    Only these chunks are read; the index that was written before stays as it is.
-    """
-    _write(index(chunks.join(ids.select("document_id"), "document_id", "left_semi")), path)
-    ids.select("document_id").distinct().write.mode("overwrite").parquet(f"{path}/dropped")
-
-
-def read_index(spark: SparkSession, path: str, *changes: str) -> Index:
-    """The index at ``path`` with its changes, the oldest first."""
-    parts = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths")}
-    for change in changes:
-        dropped = spark.read.parquet(f"{change}/dropped")
-        for name, df in parts.items():
-            parts[name] = df.join(dropped, "document_id", "left_anti").unionByName(spark.read.parquet(f"{change}/{name}"))
-    return Index(parts["postings"], parts["lengths"], corpus(parts["lengths"]))
+def read_index(spark: SparkSession, path: str) -> Index:
+    parts = [spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms")]
+    return Index(parts[0], parts[1], corpus(parts[1]), parts[2].select("term"))
 
 
 def restrict(posts: DataFrame, terms: Sequence[tuple[str, bool]]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sources and sinks: Markdown files, the driver's tables seen as documents, chunks and messages, versioned Parquet."""
+"""Sources and sinks: Markdown files, the driver's tables seen as documents, chunks and messages."""
 
 from __future__ import annotations
 
@@ -57,11 +57,3 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"),
         F.when((F.col("role") == "assistant") & ((F.col("conv_id") + F.col("turn")) % 5 == 0), calls).alias("tool_calls_json"),
     )
-
-
-def write_version(frames: dict[str, DataFrame], root: str, version: str) -> dict[str, str]:
-    """Write tables side by side under ``root/version``, so that a reader sees all of a version or none; gives their paths."""
-    paths = {name: f"{root}/{version}/{name}.parquet" for name in frames}
-    for name, df in frames.items():
-        df.write.mode("overwrite").parquet(paths[name])
-    return paths

@@ -21,19 +21,6 @@ def test_last_of_equal_new_rows_wins(spark):
     assert sorted(map(tuple, store.upsert(old, new, ["id"], "n").collect())) == [(1, "b", 2), (2, "e", 5)]
 
 
-def test_index_changes_equal_a_rebuild(spark, tmp_path):
-    schema = "document_id string, chunk_no int, kind string, text string, section_path string, heading string, tags_text string"
-    rows = [("a", 0, "section", "red apple", None, None, None), ("b", 0, "section", "green pear", None, None, None), ("c", 0, "section", "red pear", None, None, None)]
-    old = spark.createDataFrame(rows, schema)
-    new = spark.createDataFrame([*rows[:1], ("c", 0, "section", "blue apple", None, None, None), ("c", 1, "section", "apple", None, None, None)], schema)
-    s.write_index(old, str(tmp_path / "base"))
-    s.write_change(new, spark.createDataFrame([("b",), ("c",)], "document_id string"), str(tmp_path / "change"))
-    held = s.read_index(spark, str(tmp_path / "base"), str(tmp_path / "change"))
-    terms = spark.createDataFrame([(0, "apple", False), (0, "pear", False), (0, "red", False)], "qid long, term string, is_prefix boolean")
-    found = lambda i: sorted(map(tuple, s.scores(s.parts(i, terms), terms).collect()))
-    assert found(held) == found(s.index(new)) and len(found(held)) == 3
-
-
 def test_a_token_of_several_terms_is_a_phrase(spark):
     terms = s.compile_query(spark, {0: "a_b c"}).collect()
     assert {(r.term, tuple(r.words)) for r in terms} == {("a b", ("a", "b")), ("c", ("c",))}
