@@ -83,7 +83,7 @@ def write_parts(posts: DataFrame, sizes: DataFrame, path: str) -> None:
     """Write postings dealt and sorted by term, so that a query reads the row groups of its terms alone, and the distinct terms."""
     posts.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.mode("overwrite").parquet(f"{path}/postings")
     sizes.write.mode("overwrite").parquet(f"{path}/lengths")
-    stored = posts.sparkSession.read.parquet(f"{path}/postings")
+    stored = posts.sparkSession.read.schema(posts.schema).parquet(f"{path}/postings")
     stored.groupBy("term").agg(F.count("*").alias("n_postings")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
 
 

@@ -30,8 +30,17 @@ class SegmentParams:
     dead: float = 0.3
 
 
+def _schema(part: str, id_type: str) -> str:
+    return {
+        "postings": f"document_id {id_type}, chunk_no int, n_terms long, col string, pos int, term string",
+        "lengths": f"document_id {id_type}, chunk_no int, n_terms long",
+        "terms": "term string",
+        "gone": f"document_id {id_type}",
+    }[part]
+
+
 def _read(store: Versions, segments: Sequence[dict], part: str) -> DataFrame:
-    each = [store.spark.read.parquet(f"{store.root}/{g['folder']}/{part}").withColumn("segment", F.lit(i)) for i, g in enumerate(segments)]
+    each = [store.spark.read.schema(_schema(part, g["id_type"])).parquet(f"{store.root}/{g['folder']}/{part}").withColumn("segment", F.lit(i)) for i, g in enumerate(segments)]
     return reduce(DataFrame.unionByName, each)
 
 
@@ -59,10 +68,9 @@ def merged(segments: Sequence[dict], n_documents: int, n_gone: int, params: Segm
 def change(store: Versions, version: Version, chunks: DataFrame, ids: DataFrame, params: SegmentParams = SegmentParams()) -> Version:
     """``version`` with the documents ``ids`` replaced in the index by what ``chunks`` holds of them: written, not published."""
     ids = ids.select("document_id").distinct()
-    made = s.index(chunks.join(ids, "document_id", "left_semi"))
-    n_documents, n_ids = chunks.select("document_id").distinct().count(), ids.count()
-    first = not version.segments
-    n = merged(version.segments, n_documents, 0 if first else n_ids, params)
+    made = s.index(chunks.withColumn("chunk_no", F.col("chunk_no").cast("int")).join(ids, "document_id", "left_semi"))
+    n_ids = ids.count()
+    n = merged(version.segments, n_ids, n_ids if version.segments else 0, params)
     kept, taken = list(version.segments[: len(version.segments) - n]), list(version.segments[len(version.segments) - n :])
     parts = {"postings": made.postings, "lengths": made.lengths}
     gone = ids
@@ -75,13 +83,10 @@ def change(store: Versions, version: Version, chunks: DataFrame, ids: DataFrame,
     folder = store.folder("index")
     s.write_parts(parts["postings"], parts["lengths"], folder)
     gone.write.parquet(f"{folder}/gone")
-    read = store.spark.read.parquet
-    about = {
-        "folder": folder.removeprefix(store.root + "/"),
-        "n_documents": read(f"{folder}/lengths").select("document_id").distinct().count(),
-        "n_gone": read(f"{folder}/gone").count() if kept else 0,
-    }
-    return Version(version.number, version.tables, [*kept, about], version.batches)
+    about = {"folder": folder.removeprefix(store.root + "/"), "id_type": dict(ids.dtypes)["document_id"]}
+    n_documents = _read(store, [about], "lengths").select("document_id").distinct().count()
+    n_gone = _read(store, [about], "gone").count() if kept else 0
+    return Version(version.number, version.tables, [*kept, about | {"n_documents": n_documents, "n_gone": n_gone}], version.batches)
 
 
 def read_index(store: Versions, version: Version | None = None) -> s.Index:
@@ -90,5 +95,5 @@ def read_index(store: Versions, version: Version | None = None) -> s.Index:
     if not version.segments:
         raise KeyError(f"no index in version {version.number}")
     lengths = _live(store, version.segments, "lengths")
-    terms = _read(store, version.segments, "terms").select("term")  # those of replaced documents too: they meet no postings
+    terms = _read(store, version.segments, "terms").drop("segment")  # those of replaced documents too: they meet no postings
     return s.Index(_live(store, version.segments, "postings"), lengths, s.corpus(lengths), terms)
