@@ -37,7 +37,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corvidex.llm._session import cut
 from corvidex.llm._text import SHINGLE_WORDS, distinct, mix, slices, word_hashes
@@ -275,22 +275,34 @@ def retrieve(words: np.ndarray, rows: np.ndarray, index: Index, params: Decontam
     return [(r, i, s) for (r, i), s in best.items()]
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) of each item that a document holds."""
+_FOUND = ["score", "question_overlap", "answer_overlap"]
+
+
+def _matches(documents: DataFrame, benchmark: DataFrame, params: DecontaminationParams) -> DataFrame:
+    """(doc_id, k1, k2, item_id, score, question_overlap, answer_overlap) of each item in each row of ``documents``; k1 and k2 are hashes of the text."""
     spark = documents.sparkSession
     kind = dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id long, item_id {kind}, score double, question_overlap double, answer_overlap double"
+    schema = f"doc_id long, k1 long, k2 long, item_id {kind}, score double, question_overlap double, answer_overlap double"
     items, postings = weighed_items(benchmark, params)
     item_type = spark.createDataFrame([], f"item_id {kind}").toArrow().schema.field(0).type
     items, passes = cut(items), -(-postings // params.max_postings)
     out = spark.createDataFrame([], schema)
+    rows_of = documents.select("doc_id", "text", *_hashes("text"))
     for n in range(passes):
         rows = items.where(F.pmod(F.xxhash64("no"), F.lit(passes)) == n).drop("no").toArrow().to_pylist()
         shared = spark.sparkContext.broadcast(build(rows, params))
-        out = out.unionByName(documents.select("doc_id", "text").mapInArrow(_scan(shared, params, item_type), schema))
-    columns = ["score", "question_overlap", "answer_overlap"]
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct(*columns)).alias("x"))
-    return best.select("doc_id", "item_id", *[F.round(f"x.{c}", 6).alias(c) for c in columns])
+        out = out.unionByName(rows_of.mapInArrow(_scan(shared, params, item_type), schema))
+    return out
+
+
+def _hashes(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap) of each item that a document holds; rows of one id (null is one) count as one document."""
+    best = _matches(documents, benchmark, params).groupBy("doc_id", "item_id").agg(F.max(F.struct(*_FOUND)).alias("x"))
+    return best.select("doc_id", "item_id", *[F.round(f"x.{c}", 6).alias(c) for c in _FOUND])
 
 
 def _share(wanted: np.ndarray, held: np.ndarray) -> float:
@@ -300,7 +312,7 @@ def _share(wanted: np.ndarray, held: np.ndarray) -> float:
 def _scan(shared, params: DecontaminationParams, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column("doc_id"), []
+            ids, k1, k2, found = *(batch.column(c) for c in ("doc_id", "k1", "k2")), []
             for lo, texts in slices(batch, "text"):
                 words, rows = word_hashes(texts)
                 runs: dict[tuple[int, int], np.ndarray] = {}
@@ -312,15 +324,17 @@ def _scan(shared, params: DecontaminationParams, item_type: pa.DataType):
                             runs[row, n] = _runs(words[a:b], n)
                         q, a = _share(question, runs[row, n]), _share(answer, runs[row, n])
                         if q >= params.min_overlap and a >= params.min_overlap:
-                            found.append((ids[lo + row].as_py(), index.ids[item], score, q, a))
-            names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
-            columns = list(zip(*found, strict=True)) if found else [[]] * 5
-            kinds = [ids.type, item_type, *[pa.float64()] * 3]
+                            found.append((*(c[lo + row].as_py() for c in (ids, k1, k2)), index.ids[item], score, q, a))
+            names = ["doc_id", "k1", "k2", "item_id", *_FOUND]
+            columns = list(zip(*found, strict=True)) if found else [[]] * 7
+            kinds = [ids.type, pa.int64(), pa.int64(), item_type, *[pa.float64()] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return run
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """``documents`` without those that hold an item; rows without an id stay."""
-    return documents.join(contaminated(documents, benchmark, params).select("doc_id").distinct(), "doc_id", "left_anti").select(documents.columns)
+    """``documents`` without the rows whose text holds an item, whatever their id."""
+    gone = _matches(documents, benchmark, params).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    k1, k2 = _hashes("text")
+    return documents.join(gone, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti").select(documents.columns)

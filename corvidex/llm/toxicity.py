@@ -92,7 +92,7 @@ def _present(texts: list[str], params: ToxicityParams, slot: np.ndarray | None)
 
 
 def _sample(documents: DataFrame, labels: DataFrame, params: ToxicityParams) -> DataFrame:
-    """At most ``train_rows`` labelled documents, chosen by a hash of their id: (doc_id, toxic, text)."""
+    """At most ``train_rows`` labelled documents, chosen by a hash of their id: (doc_id, toxic, text); of an id's texts, the one of the least hash."""
     marked = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -100,7 +100,8 @@ def _sample(documents: DataFrame, labels: DataFrame, params: ToxicityParams) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(params.train_rows)
     )
-    return documents.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
+    found = documents.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x")).select("doc_id", "toxic", "x.text")
 
 
 def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:

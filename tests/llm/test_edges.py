@@ -63,3 +63,14 @@ def test_empty_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame(spark, []), str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_sample_is_bounded_by_rows_of_documents(spark):
+    """Of an id with many rows, one text is learnt from."""
+    params = toxicity.ToxicityParams(train_rows=2)
+    docs = frame(spark, [(1, words(k, 20)) for k in range(300)] + [(2, words(500, 20)), (3, words(501, 20))])
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 0)], "doc_id long, toxic int")
+    sample = toxicity._sample(docs, labels, params).collect()
+    assert len(sample) <= 2 and len({r.doc_id for r in sample}) == len(sample)
+    again = toxicity._sample(docs.repartition(5, "text"), labels, params).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, sample))
