@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,10 +25,17 @@ def read_controls(files: DataFrame, params: IngestParams = IngestParams()) -> Da
     return f.withColumns({"document_id": F.left("source_sha256", F.lit(32)), "error_code": error})
 
 
-def read_blocks(documents: DataFrame) -> DataFrame:
-    """(document_id, pos, type, level, content, markup, subtype) of the blocks of ``body``."""
-    each = documents.select("document_id", F.posexplode(md.parse("body")).alias("pos", "b"))
-    return each.select("document_id", "pos", "b.*")
+def last_uploads(read: DataFrame) -> DataFrame:
+    """Of the files with equal text and no error, the one uploaded last (of the greatest path, where ``uploaded`` isn't known or equal); all others with an error."""
+    order = [F.col("error_code").isNotNull(), *([F.desc_nulls_last("uploaded")] if "uploaded" in read.columns else []), F.desc("source_path")]
+    n = F.row_number().over(Window.partitionBy("document_id").orderBy(*order))
+    return read.withColumn("__n", n).where("`__n` = 1 OR error_code IS NOT NULL").drop("__n")
+
+
+def read_blocks(documents: DataFrame, *more: str) -> DataFrame:
+    """(document_id, ``more``, pos, type, level, content, markup, subtype) of the blocks of ``body``."""
+    each = documents.select("document_id", *more, F.posexplode(md.parse("body")).alias("pos", "b"))
+    return each.select("document_id", *more, "pos", "b.*")
 
 
 def section_paths(blocks: DataFrame) -> DataFrame:
@@ -67,8 +74,8 @@ def split_long(text: Column, most: int) -> Column:
     return F.when((F.length(text) <= most) | (F.size(paragraphs) <= 1), F.array(text)).otherwise(packed)
 
 
-def chunkify(placed: DataFrame, params: IngestParams = IngestParams()) -> DataFrame:
-    """(document_id, chunk_no, kind, text, section_path, heading): one chunk a block; long sections in parts.
+def chunkify(placed: DataFrame, params: IngestParams = IngestParams(), more: Sequence[str] = ()) -> DataFrame:
+    """(document_id, ``more``, chunk_no, kind, text, section_path, heading): one chunk a block; long sections in parts.
 
     A paragraph that is all bold labels the next chunk; the last of several in
     a row counts; one with nothing behind it is a section of its own.
@@ -82,35 +89,50 @@ def chunkify(placed: DataFrame, params: IngestParams = IngestParams()) -> DataFr
     kind = F.when(F.col("dangling"), "section").when(admin, "meta").otherwise(by_type)
     b = b.withColumn("kind", kind)
     parts = F.when((F.col("kind") == "section") & ~F.col("dangling"), split_long(F.col("content"), params.max_section_chars)).otherwise(F.array("content"))
-    each = b.select("document_id", "pos", "kind", "section_path", "heading", "label", "dangling", F.posexplode(parts).alias("part", "text")).where(F.trim("text") != "")
+    each = b.select("document_id", *more, "pos", "kind", "section_path", "heading", "label", "dangling", F.posexplode(parts).alias("part", "text")).where(F.trim("text") != "")
     labelled = F.when((F.col("part") == 0) & F.col("label").isNotNull() & ~F.col("dangling"), F.concat("label", F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("pos", "part")) - 1
-    return each.select("document_id", number.alias("chunk_no"), "kind", labelled.alias("text"), "section_path", "heading")
+    return each.select("document_id", *more, number.alias("chunk_no"), "kind", labelled.alias("text"), "section_path", "heading")
 
 
-def tag(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """``chunks`` with tags_text and chunk_id."""
-    c = chunks.join(documents.select("document_id", "category"), "document_id")
+def tag(chunks: DataFrame) -> DataFrame:
+    """``chunks`` (with their document's category) with tags_text and chunk_id."""
     sources = [tx.nfkc(F.col("category")), F.col("kind"), F.col("section_path"), F.col("heading")]
-    c = c.withColumn("tags_text", tx.tags(sources)).drop("category")
+    c = chunks.withColumn("tags_text", tx.tags(sources))
     return c.withColumn("chunk_id", tx.chunk_id(F.col("document_id"), F.col("section_path"), F.col("kind"), F.col("text")))
 
 
-def ingest(files: DataFrame, indexed_at: str, params: IngestParams = IngestParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, chunks, rejects); of files with equal normalized content one is taken.
+def tagged_chunks(good: DataFrame, params: IngestParams = IngestParams()) -> DataFrame:
+    """Chunks of ``good`` (read controls, each document once) with their file's source_path and category, and whether the document holds equal ones (``doubled``).
+
+    What chunks need of their document goes through the plan with its blocks, and
+    all windows are by document, so texts are dealt once and parsed once.
+    """
+    more = ("source_path", "category")
+    chunks = tag(chunkify(section_paths(read_blocks(good, *more)), params, more))
+    n = F.count("*").over(Window.partitionBy("document_id", "chunk_id"))
+    return chunks.withColumn("n", n).withColumn("doubled", F.max(F.col("n") > 1).over(Window.partitionBy("document_id"))).drop("n")
+
+
+CHUNK = ["document_id", "chunk_no", "kind", "text", "section_path", "heading", "tags_text", "chunk_id"]
+
+
+def ingest(files: DataFrame, indexed_at: str, params: IngestParams = IngestParams(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, chunks, rejects); of files with equal normalized content the last upload counts.
 
     Rejects (source_path, error_code): no category, no date, no chunks, or two
-    equal chunks in a document.
+    equal chunks in a document. The three share what is read and its chunks;
+    ``keep`` may write those two and give them back, so that they are worked out
+    once.
     """
-    read = read_controls(files, params)
-    good = read.where("error_code IS NULL").dropDuplicates(["document_id"])
-    chunks = tag(chunkify(section_paths(read_blocks(good)), params), good)
-    twice = chunks.groupBy("document_id", "chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("document_id").distinct()
-    held = chunks.select("document_id").distinct()
-    empty = good.join(held, "document_id", "left_anti").select("source_path", F.lit("E_EMPTY_CHUNKS").alias("error_code"))
-    doubled = good.join(twice, "document_id", "left_semi").select("source_path", F.lit("E_DUPLICATE_CHUNK").alias("error_code"))
-    rejects = read.where("error_code IS NOT NULL").select("source_path", "error_code").unionByName(empty).unionByName(doubled)
-    chunks = chunks.join(twice, "document_id", "left_anti")
-    stored = good.join(held, "document_id", "left_semi").join(twice, "document_id", "left_anti")
+    read = keep(last_uploads(read_controls(files, params)))
+    good = read.where("error_code IS NULL")
+    tagged = keep(tagged_chunks(good, params))
+    verdict = tagged.groupBy("document_id").agg(F.max("doubled").alias("doubled"))
+    judged = good.join(verdict, "document_id", "left")
+    code = F.when(F.col("doubled").isNull(), "E_EMPTY_CHUNKS").when(F.col("doubled"), "E_DUPLICATE_CHUNK")
+    late = judged.select("source_path", code.alias("error_code")).where("error_code IS NOT NULL")
+    rejects = read.where("error_code IS NOT NULL").select("source_path", "error_code").unionByName(late)
+    stored = judged.where("NOT doubled")
     documents = stored.select("document_id", "source_path", "source_sha256", "category", F.lit(indexed_at).alias("indexed_at"), "document_date", F.col("text").alias("raw_text"))
-    return documents, chunks, rejects
+    return documents, tagged.where("NOT doubled").select(CHUNK), rejects

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from corvidex.operators import segments
+from corvidex.operators import constraints, segments
 from corvidex.operators.store import last_of_each
 from corvidex.sources.versions import Table, Version, Versions
 
@@ -24,14 +24,16 @@ def put(library: Versions, documents: DataFrame, chunks: DataFrame, batch: tuple
     Of several rows of a document, that with the greatest ``order`` counts, if it
     is named. ``batch`` (stream, number) marks the version: a batch that a version
     already holds changes nothing, so a repeated one is harmless. Chunks are
-    numbered from 0 in the order of ``chunk_no``.
+    numbered from 0 in the order of ``chunk_no``. What breaks a rule of
+    ``constraints.LIBRARY`` is refused as a whole (``Violation``).
     """
     before = library.latest()
     if batch and before.batches.get(batch[0], -1) >= batch[1]:
         return before
     documents = documents if order is None else last_of_each(documents, ["document_id"], order).drop(order)
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_no")) - 1
-    chunks = chunks.join(documents.select("document_id"), "document_id", "left_semi").withColumn("chunk_no", number.cast(chunks.schema["chunk_no"].dataType))
+    chunks = chunks.withColumn("chunk_no", number.cast(chunks.schema["chunk_no"].dataType))
+    constraints.require({"documents": documents, "chunks": chunks}, constraints.LIBRARY)
     return _publish(library, before, documents, chunks, documents.select("document_id"), batch)
 
 

@@ -287,10 +287,19 @@ def group_by_document(hits: DataFrame) -> DataFrame:
 
 
 def neighbours(hits: DataFrame, chunks: DataFrame, width: int) -> DataFrame:
-    """(qid, document_id, hit_no, chunk_no, kind, text) around each hit, itself left out: a range join on the document."""
+    """(qid, document_id, hit_no, chunk_no, kind, text) around each hit, itself left out.
+
+    Numbers are cut into bins as wide as a hit's window, so a window touches two
+    bins at most, and document and bin are the key of an equality join: a hit
+    meets the chunks of two bins, not those of its whole document.
+    """
+    span = 2 * width + 1
     h = hits.select("qid", "document_id", F.col("chunk_no").alias("hit_no"))
+    first, last = (F.floor((F.col("hit_no") + d) / span).cast("long") for d in (-width, width))
+    h = h.withColumn("bin", F.explode(F.sequence(first, last)))
     near = F.col("chunk_no").between(F.col("hit_no") - width, F.col("hit_no") + width) & (F.col("chunk_no") != F.col("hit_no"))
-    return h.join(chunks.select(*KEY, "kind", "text"), "document_id").where(near)
+    binned = chunks.select(*KEY, "kind", "text", F.floor(F.col("chunk_no") / span).cast("long").alias("bin"))
+    return h.join(binned, ["document_id", "bin"]).where(near).drop("bin")
 
 
 def full_text(hits: DataFrame, documents: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvidex.functions import control, text as tx
-from corvidex.operators import bundle, catalog, dialogue, ingest, search as s, store
+from corvidex.operators import bundle, catalog, constraints, dialogue, ingest, search as s, store
 from corvidex.plans import prompts, retrieval
 from corvidex.plans.queries import _CHUNKS, _DOCS, _MESSAGES, _RECENT_SQL, _data, _query, _ranked, _scored, _words, _WORDS_SQL
 from corvidex.sources import corpus
@@ -146,8 +146,8 @@ _REPORT_CHUNKS = [
 )
 def ingest_reports(spark, sf_dir):
     """All chunks of ingested files of known structure."""
-    documents, chunks, _ = ingest.ingest(_report(spark, sf_dir), "2025-01-01")
-    return chunks.join(documents.select("document_id", "source_path"), "document_id").select("source_path", "chunk_no", "kind", "text", "section_path", "heading")
+    read = ingest.last_uploads(ingest.read_controls(_report(spark, sf_dir)))
+    return ingest.tagged_chunks(read.where("error_code IS NULL")).where("NOT doubled").select("source_path", "chunk_no", "kind", "text", "section_path", "heading")
 
 
 @_query("SELECT 'r' || s_suppkey || '.md' AS source_path, 'Анализы' AS category, " + _DATE_SQL.format(form="%Y-%m-%d") + " AS document_date, '2025-01-01' AS indexed_at FROM supplier")
@@ -155,6 +155,36 @@ def ingest_documents(spark, sf_dir):
     return ingest.ingest(_report(spark, sf_dir), "2025-01-01")[0].select("source_path", "category", "document_date", "indexed_at")
 
 
+@_query(
+    f"""WITH {_DOCS}, f AS (SELECT document_id, CASE document_id % 8 WHEN 0 THEN 'E_EMPTY_CHUNKS' WHEN 1 THEN 'E_DUPLICATE_CHUNK' WHEN 2 THEN 'E_NO_SCHEMA_ID' WHEN 3 THEN 'E_NO_DOCUMENT_DATE' END AS error_code FROM docs)
+SELECT document_id AS key, error_code FROM f WHERE error_code IS NOT NULL"""
+)
+def ingest_rejects(spark, sf_dir):
+    """Files of documents that have no chunk, two equal ones, no category or no date, beside good ones; the document's number is the file's name."""
+    d = corpus.documents(spark, sf_dir)
+    k = F.col("document_id") % 8
+    category, date = F.when(k == 2, "").otherwise("категория: анализы\n"), F.when(k == 3, "").otherwise(F.concat(F.lit("**Дата:** "), "document_date", F.lit("\n")))
+    number = F.concat(F.lit("n"), F.col("document_id").cast("string"))
+    body = F.when(k == 0, F.concat(F.lit("\n# "), number)).when(k == 1, F.concat(F.lit("\n"), number, F.lit("\n\n"), number)).otherwise(F.concat(F.lit("\n"), number))
+    # Without a chunk, only headings may be there: the date is in the name.
+    text = F.when(k == 0, F.concat(F.lit("категория: анализы\n"), body)).otherwise(F.concat(date, category, body))
+    name = F.when(k == 0, F.concat("document_date", F.lit("_"), number)).otherwise(number)
+    rejects = ingest.ingest(d.select(F.concat(name, F.lit(".md")).alias("source_path"), text.alias("raw_content")), "2025-01-01")[2]
+    return rejects.select(F.regexp_extract("source_path", r"n(\d+)\.md$", 1).cast("long").alias("key"), "error_code")
+
+
+@_query(
+    """SELECT sha256(lower(regexp_replace(text, '[\x00-\x08\x0B-\x1F]', '', 'g'))) AS text_sha256, max(doc_id) AS key FROM documents GROUP BY ALL"""
+)
+def last_uploads(spark, sf_dir):
+    """Of the documents with equal text, as files of one name uploaded in the order of their numbers, the last one."""
+    d = corpus.table(spark, sf_dir, "documents")
+    head = "категория: анализы\n**дата:** 2024-01-01\n\n"
+    files = d.select(F.lit("a.md").alias("source_path"), F.concat(F.lit(head), F.coalesce("text", F.lit(""))).alias("raw_content"), F.col("doc_id").alias("uploaded"))
+    kept = ingest.last_uploads(ingest.read_controls(files))
+    return kept.select(F.sha2(F.substr("text", F.lit(len(head) + 1)), 256).alias("text_sha256"), F.col("uploaded").alias("key"))
+
+
 @_query("SELECT s_suppkey AS key, CASE s_suppkey % 3 WHEN 0 THEN 'ldl лпнп' WHEN 1 THEN 'алт алтаст аст' ELSE 'ttgx кровь' END AS tags FROM supplier")
 def tags_of_terms(spark, sf_dir):
     """Tags with aliases, dashes, slashes, units, stop words and numbers in the text."""
@@ -166,6 +196,29 @@ def tags_of_terms(spark, sf_dir):
 # Dialogue, store and prompts
 
 
+_SHA = "left(sha256(text || '|' || kind), 32)"
+
+
+@_query(
+    f"""WITH {_DOCS}, {_CHUNKS}, d AS (SELECT document_id, category, CASE WHEN document_id % 5 = 0 THEN NULL ELSE raw_text END AS raw_text FROM docs WHERE document_id % 10 <> 0),
+c AS (SELECT document_id, chunk_no // 2 AS chunk_no, {_SHA} AS chunk_id, kind, CASE WHEN chunk_no % 9 = 8 THEN NULL ELSE text END AS text FROM chunks)
+SELECT 'chunks' AS "table", 'unique chunk_id' AS rule, chunk_id AS key, count(*) AS n FROM c GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'chunks', 'unique document_id, chunk_no', document_id || '|' || chunk_no, count(*) FROM c GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'chunks', 'document_id refers to documents', CAST(document_id AS VARCHAR), count(*) FROM c WHERE document_id NOT IN (SELECT document_id FROM d) GROUP BY ALL
+UNION ALL SELECT 'documents', 'raw_text is not null', CAST(document_id AS VARCHAR), 1 FROM d WHERE raw_text IS NULL
+UNION ALL SELECT 'chunks', 'text is not null', chunk_id, 1 FROM c WHERE text IS NULL
+UNION ALL SELECT 'chunks', 'kind is known', chunk_id, 1 FROM c WHERE kind = 'meta'"""
+)
+def constraint_violations(spark, sf_dir):
+    """Every row that breaks a rule, of documents and chunks with repeated keys, lost references, nulls and an unknown kind."""
+    chunks, docs = _data(spark, sf_dir)
+    d = docs.where("document_id % 10 <> 0").withColumn("raw_text", F.when(F.col("document_id") % 5 != 0, F.col("raw_text")))
+    id_ = F.left(F.sha2(F.concat_ws("|", "text", "kind"), 256), F.lit(32))
+    c = chunks.select("document_id", F.expr("chunk_no DIV 2").alias("chunk_no"), id_.alias("chunk_id"), "kind", F.when(F.col("chunk_no") % 9 != 8, F.col("text")).alias("text"))
+    rules = [*constraints.LIBRARY, constraints.Holds("chunks", "kind is known", "kind IN ('section', 'table', 'list', 'fact')", "chunk_id")]
+    return constraints.violations({"documents": d, "chunks": c}, rules)
+
+
 @_query(
     f"WITH {_MESSAGES}, c AS (SELECT session_id, seq, seq % 4 AS n FROM messages) SELECT session_id, seq, i AS call_no, 't' || i AS name, i < 2 AS allowed FROM (SELECT session_id, seq, unnest(range(0, n)) AS i FROM c WHERE n > 0)"
 )

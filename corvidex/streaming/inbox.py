@@ -13,7 +13,7 @@ from corvidex.operators.ingest import IngestParams, ingest
 from corvidex.sources.versions import Versions
 
 
-def watch(spark: SparkSession, inbox: str, sink: Callable[[int, DataFrame, DataFrame, DataFrame], None], checkpoint: str, indexed_at: str, params: IngestParams = IngestParams()) -> StreamingQuery:
+def watch(spark: SparkSession, inbox: str, sink: Callable[[int, DataFrame, DataFrame, DataFrame], None], checkpoint: str, indexed_at: str, params: IngestParams = IngestParams(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
     """Start reading ``*.md`` files that arrive in ``inbox``; ``sink`` gets (batch, documents, chunks, rejects).
 
     The checkpoint names the files already read; a sink that writes by batch
@@ -24,7 +24,7 @@ def watch(spark: SparkSession, inbox: str, sink: Callable[[int, DataFrame, DataF
     files = stream.select(name.alias("source_path"), F.col("value").alias("raw_content"), when.alias("uploaded"))
 
     def batch(df: DataFrame, number: int) -> None:
-        sink(number, *ingest(df, indexed_at, params))
+        sink(number, *ingest(df, indexed_at, params, keep))
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -42,4 +42,9 @@ def into(store: Versions, inbox: str, checkpoint: str, indexed_at: str, params:
             refused.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
         library.put(store, documents, chunks, (inbox, number))
 
-    return watch(store.spark, inbox, publish, checkpoint, indexed_at, params)
+    def keep(df: DataFrame) -> DataFrame:
+        folder = store.folder("inbox")  # no version names it, so ``vacuum`` takes it away
+        df.write.parquet(folder)
+        return store.spark.read.schema(df.schema).parquet(folder)
+
+    return watch(store.spark, inbox, publish, checkpoint, indexed_at, params, keep)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corvidex.operators import library as lib, search as s, segments
+from corvidex.operators import constraints, library as lib, search as s, segments
 from corvidex.sources.versions import Conflict
 from corvidex.streaming import inbox
 
@@ -161,6 +161,32 @@ def test_repeated_batch_changes_nothing(spark, tmp_path, monkeypatch):
     assert len([k for k in scored(segments.read_index(store), spark) if k[0] == 0]) == 2
 
 
+def test_what_breaks_a_rule_is_refused_whole(spark, tmp_path):
+    store = lib.open_library(spark, str(tmp_path / "kb"), 2)
+    docs, chunks = frames(spark, ["a", "b"])
+    bad = {
+        "unique chunk_id": (docs, chunks.withColumn("chunk_id", F.lit("same"))),
+        "refers to documents": (docs.where("document_id = 'a'"), chunks),
+        "text is not null": (docs, chunks.withColumn("text", F.when(F.col("document_id") == "a", F.col("text")))),
+        "unique document_id": (docs.union(docs), chunks),
+    }
+    for message, (d, c) in bad.items():
+        with pytest.raises(constraints.Violation, match=message):
+            lib.put(store, d, c)
+    assert store.numbers() == []
+
+
+def test_neighbours_meet_the_bins_of_their_window_alone(spark):
+    chunks = spark.range(200_000).select(F.lit("d").alias("document_id"), F.col("id").cast("int").alias("chunk_no"), F.lit("section").alias("kind"), F.lit("t").alias("text"))
+    hits = spark.range(2000).select(F.lit(0).alias("qid"), F.lit("d").alias("document_id"), (F.col("id") * 97).cast("int").alias("chunk_no"))
+    for width in (0, 1, 3):
+        found = s.neighbours(hits, chunks, width)
+        want = {(97 * i, n) for i in range(2000) for n in range(97 * i - width, 97 * i + width + 1) if n >= 0 and n != 97 * i}
+        assert {(r.hit_no, r.chunk_no) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "(bin#" in plan.split("Join Inner")[1].split("\n")[0]
+
+
 def test_last_of_repeated_documents_and_batches(spark, tmp_path):
     store = lib.open_library(spark, str(tmp_path / "kb"), 2)
     docs, chunks = frames(spark, ["a"])
