@@ -51,6 +51,23 @@ def context(messages: DataFrame, sessions: DataFrame, system: str, turns: int) -
     return head.unionByName(summary).unionByName(window)
 
 
+def compression_slices(messages: DataFrame, turns: int, every: int) -> DataFrame:
+    """(session_id, slice, idx, seq, role, content): what each turn window of a session left behind when it was due, in slices from 0.
+
+    It is due at every ``every``-th user turn, if there are ``turns`` by then; a
+    slice begins where the last window began and ends before the window.
+    """
+    by = Window.partitionBy("session_id")
+    so_far = by.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    user = F.col("role") == "user"
+    m = messages.select("session_id", F.col("seq").cast("long").alias("seq"), "role", "content")
+    m = m.withColumns({"idx": F.row_number().over(by.orderBy("seq")).cast("long") - 1, "nth": F.count_if(user).over(so_far), "users": F.count_if(user).over(by)})
+    # The user turn that a due window begins with, ``turns`` - 1 turns before the one that makes it due.
+    begins = user & ((F.col("nth") + turns - 1) % every == 0) & (F.col("nth") + turns - 1 <= F.col("users"))
+    m = m.withColumns({"slice": F.count_if(begins).over(so_far), "slices": F.count_if(begins).over(by)})
+    return m.where("slice < slices").select("session_id", "slice", "idx", "seq", "role", "content")
+
+
 def to_compress(messages: DataFrame, cursors: DataFrame, turns: int, every: int) -> DataFrame:
     """Messages between a session's cursor (rows already summarised) and its turn window, where its user turns are a multiple of ``every``."""
     n = F.row_number().over(Window.partitionBy("session_id").orderBy("seq")) - 1

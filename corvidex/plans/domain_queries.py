@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvidex.functions import control, text as tx
-from corvidex.operators import bundle, catalog, constraints, dialogue, ingest, search as s, store
+from corvidex.operators import bundle, catalog, constraints, dialogue, ingest, library, search as s, segments, store
 from corvidex.plans import prompts, retrieval
 from corvidex.plans.queries import _CHUNKS, _DOCS, _MESSAGES, _RECENT_SQL, _data, _query, _ranked, _scored, _words, _WORDS_SQL
 from corvidex.sources import corpus
+from corvidex.sources.versions import Versions
 
 # Retrieval
 
@@ -73,6 +76,50 @@ def compiled_terms(spark, sf_dir):
     return s.compile_query(spark, {1: "Температура ТТГ 12 pain", 2: " !? ", 3: "OF_the", 4: "боли, болит"}).select("qid", "term", "is_prefix")
 
 
+# The library
+
+
+def _numbered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks as the library takes them."""
+    chunks, docs = _data(spark, sf_dir)
+    id_ = F.concat_ws("#", F.col("document_id").cast("string"), F.col("chunk_no").cast("string"))
+    return docs, chunks.withColumns({"chunk_id": id_, "chunk_no": F.col("chunk_no").cast("int")})
+
+
+def _changed_library(spark, sf_dir) -> Versions:
+    """A library that took all documents, then a tenth again without administrative chunks, then lost a tenth; in a new shared folder."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    held = library.open_library(spark, f"{folder}/library-{uuid.uuid4().hex}", 8)
+    docs, chunks = _numbered(spark, sf_dir)
+    library.put(held, docs, chunks)
+    again = F.col("document_id") % 10 == 1
+    library.put(held, docs.where(again).withColumn("category", F.lit("again")), chunks.where(again & (F.col("kind") != "meta")))
+    library.remove(held, docs.where("document_id % 10 = 0"))
+    return held
+
+
+_LIBRARY_SQL = _CHUNKS.replace("chunks AS", "every AS") + """,
+chunks AS (SELECT * EXCLUDE (chunk_no), row_number() OVER (PARTITION BY document_id ORDER BY chunk_no) - 1 AS chunk_no FROM every WHERE document_id % 10 <> 0 AND (document_id % 10 <> 1 OR kind <> 'meta'))"""
+
+
+@_query(f"WITH {_scored(_WORDS_SQL).replace(_CHUNKS, _LIBRARY_SQL)} SELECT document_id, chunk_no, round(rank, 9) AS rank FROM hits")
+def library_search(spark, sf_dir):
+    """Scores from the index segments of a library after changes of documents, equal to those of its chunks as they are then."""
+    held = segments.read_index(_changed_library(spark, sf_dir))
+    words = _words(spark)
+    return s.scores(s.parts(held, words), words).select("document_id", "chunk_no", F.round("rank", 9).alias("rank"))
+
+
+@_query(f"WITH {_DOCS}, {_LIBRARY_SQL} SELECT c.document_id, CASE WHEN c.document_id % 10 = 1 THEN 'again' ELSE category END AS category, count(*) AS n_chunks, max(chunk_no) AS last_no, max(length(raw_text)) AS n_chars FROM chunks c JOIN docs USING (document_id) GROUP BY ALL")
+def library_documents(spark, sf_dir):
+    """Documents and chunks of the library's last version."""
+    held = _changed_library(spark, sf_dir)
+    rows = held.read("chunks").groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.max("chunk_no").alias("last_no"))
+    return rows.join(held.read("documents"), "document_id").select("document_id", "category", "n_chunks", "last_no", F.length("raw_text").alias("n_chars"))
+
+
 # Catalog
 
 

@@ -342,6 +342,17 @@ def compression_slice(spark, sf_dir):
     return dialogue.to_compress(m, cursors, 1, 2).select("session_id", "seq", "idx")
 
 
+@_query(
+    f"""WITH {_MESSAGES}, i AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS idx, count(*) FILTER (role = 'user') OVER (PARTITION BY session_id ORDER BY seq) AS nth FROM messages),
+due AS (SELECT session_id, nth AS n, row_number() OVER (PARTITION BY session_id ORDER BY nth) - 1 AS slice FROM i WHERE role = 'user' AND nth % 2 = 0 AND nth >= 2),
+w AS (SELECT d.session_id, d.slice, i.idx AS upto FROM due d JOIN i ON i.session_id = d.session_id AND i.role = 'user' AND i.nth = d.n - 1)
+SELECT i.session_id, min(slice) AS slice, idx, seq, role FROM i JOIN w ON w.session_id = i.session_id AND upto > idx GROUP BY ALL"""
+)
+def compression_slices(spark, sf_dir):
+    """Slices of each session for windows of two turns that are due at every second."""
+    return dialogue.compression_slices(corpus.messages(spark, sf_dir), 2, 2).select("session_id", "slice", "idx", "seq", "role")
+
+
 @_query(f"WITH {_MESSAGES} SELECT session_id, string_agg(CASE WHEN tool_calls_json IS NOT NULL THEN '[assistant]: ' || coalesce(content, '') || chr(10) || '[tool calls]: kb.search_chunks' ELSE '[' || role || ']: ' || coalesce(content, '') END, chr(10) ORDER BY seq) AS history FROM messages GROUP BY ALL")
 def serialized_history(spark, sf_dir):
     return dialogue.serialize(corpus.messages(spark, sf_dir))
