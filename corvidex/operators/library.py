@@ -61,3 +61,8 @@ def _publish(library: Versions, before: Version, documents: DataFrame, chunks: D
 def find(library: Versions, ids: list, name: str = "documents") -> DataFrame:
     """Rows of a few documents, from the buckets of their ids."""
     return library.read(name, keys=ids)
+
+
+def find_by_hash(library: Versions, source_sha256: str) -> DataFrame:
+    """Documents of a text's hash; row groups whose Bloom filter doesn't know it aren't read."""
+    return library.read("documents").where(F.col("source_sha256") == source_sha256)

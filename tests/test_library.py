@@ -72,6 +72,26 @@ def test_remove_and_lookup(spark, tmp_path):
     assert store.read("chunks").count() == 3 and {k[1] for k in scored(segments.read_index(store), spark)} <= {"d1"}
 
 
+def rows_read(df):
+    """The result, and how many rows the scan gave."""
+    found = df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return found, sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_lookups_read_few_row_groups(spark, tmp_path):
+    store = lib.open_library(spark, str(tmp_path / "kb"), 64)
+    docs = spark.range(6400).select(*[F.concat(F.lit(p), F.sha2(F.col("id").cast("string"), 256)).alias(c) for c, p in (("document_id", "d"), ("source_path", "p"), ("source_sha256", ""))], *[F.lit("x").alias(c) for c in ("category", "indexed_at", "document_date", "raw_text")])
+    store.publish(store.change(store.latest(), "documents", docs))
+    wanted = docs.first()
+    found, n = rows_read(lib.find_by_hash(store, wanted.source_sha256))
+    assert [r.document_id for r in found] == [wanted.document_id] and n <= 6400 / 16
+    found, n = rows_read(lib.find(store, [wanted.document_id]))
+    assert [r.source_sha256 for r in found] == [wanted.source_sha256] and n <= 6400 / 16
+    found, n = rows_read(lib.find_by_hash(store, "absent"))
+    assert found == [] and n <= 6400 / 16
+
+
 def test_failed_write_stays_unseen_and_one_of_two_writers_is_refused(spark, tmp_path, monkeypatch):
     store = lib.open_library(spark, str(tmp_path / "kb"), 4)
     lib.put(store, *frames(spark, ["a", "b"]))
