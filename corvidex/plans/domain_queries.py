@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corvidex.functions import control, text as tx
 from corvidex.operators import bundle, catalog, constraints, dialogue, ingest, library, search as s, segments, store
 from corvidex.plans import prompts, retrieval
-from corvidex.plans.queries import _CHUNKS, _DOCS, _MESSAGES, _RECENT_SQL, _data, _query, _ranked, _scored, _words, _WORDS_SQL
+from corvidex.plans.queries import _CHUNKS, _DOCS, _MESSAGES, _RECENT_SQL, _data, _query, _ranked, _scored, _terms, _words, _WORDS_SQL
 from corvidex.sources import corpus
 from corvidex.sources.versions import Versions
 
@@ -70,10 +70,44 @@ def search_token_phrase(spark, sf_dir):
     return s.scores(s.parts(s.index(chunks), terms), terms).select("document_id", "chunk_no", F.round("rank", 9).alias("rank"))
 
 
-@_query("SELECT * FROM (VALUES (1, 'температура', true), (1, 'ттг', false), (1, 'tsh', false), (1, 'pain', false), (3, 'of the', false), (4, 'боли', false), (4, 'болит', true)) t(qid, term, is_prefix)")
+_MORE = " Температура ТТГ 12 OF_the"
+
+
+@_query(
+    rf"""SELECT DISTINCT item_id AS qid, term, false AS is_prefix FROM (SELECT item_id, unnest({_terms('text')}) AS term FROM benchmark) WHERE NOT regexp_matches(term, '^[0-9]+$')
+UNION SELECT item_id, term, is_prefix FROM benchmark, (VALUES ('температура', true), ('ттг', false), ('tsh', false), ('of the', false)) t(term, is_prefix)"""
+)
 def compiled_terms(spark, sf_dir):
-    """Normalized words, aliases, phrases and prefixes of query texts; a query without words has none."""
-    return s.compile_query(spark, {1: "Температура ТТГ 12 pain", 2: " !? ", 3: "OF_the", 4: "боли, болит"}).select("qid", "term", "is_prefix")
+    """Words of each benchmark item, with an alias, a phrase and a prefix behind them; numbers alone go."""
+    items = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat("text", F.lit(_MORE)).alias("query"))
+    return s.compile_queries(items).select("qid", "term", "is_prefix")
+
+
+_CALLS_SQL = f"""calls AS (SELECT item_id AS qid, CASE WHEN item_id % 7 = 0 THEN ' ' ELSE array_to_string(list_slice({_terms('text')}, 1, 3), ' ') END AS query, item_id % 13 AS lim,
+ CASE WHEN item_id % 3 = 0 THEN '2024-03-01' END AS from_date, CASE WHEN item_id % 9 = 0 THEN '2024-02-01' WHEN item_id % 4 = 0 THEN '2024-09-30' WHEN item_id % 11 = 0 THEN '1.2.2024' END AS to_date FROM benchmark),
+judged AS (SELECT *, CASE WHEN trim(query) = '' THEN 'query is required' WHEN lim <= 0 THEN 'limit must be a positive integer' WHEN NOT coalesce(regexp_full_match(to_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), true) THEN 'dates must be YYYY-MM-DD' WHEN from_date > to_date THEN 'from_date is after to_date' END AS error FROM calls)"""
+_CALL_TERMS_SQL = "SELECT DISTINCT qid, unnest(string_split(query, ' ')) AS term, false AS is_prefix FROM judged WHERE error IS NULL"
+
+
+@_query(
+    f"""WITH {_CALLS_SQL}, {_scored(_CALL_TERMS_SQL)}, pre AS (SELECT h.*, lim, row_number() OVER (PARTITION BY qid ORDER BY rank, document_date DESC, document_id, chunk_no) AS pre FROM hits h JOIN judged USING (qid)
+ WHERE kind <> 'meta' AND (from_date IS NULL OR document_date >= from_date) AND (to_date IS NULL OR document_date <= to_date)),
+cap AS (SELECT *, row_number() OVER (PARTITION BY qid, document_id ORDER BY rank, document_date DESC, pre) AS in_document FROM pre WHERE pre <= 200),
+num AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, document_date DESC, pre) AS pos FROM cap WHERE in_document <= 3),
+e AS (SELECT qid, pos, document_id || '#chunk_' || chunk_no || ' | ' || document_date || ' | ' || category || ' | ' || coalesce(section_path, '') || chr(10) || chr(10) || text AS x FROM num WHERE pos <= 10 AND pos <= lim),
+w AS (SELECT qid, pos, x, 4000 - coalesce(sum(length(x)) OVER (PARTITION BY qid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM e),
+y AS (SELECT qid, pos, CASE WHEN length(x) <= room THEN x WHEN room <= 15 THEN left(x, CAST(room AS BIGINT)) ELSE left(x, CAST(floor((room - 15) / 2.0) AS BIGINT)) || chr(10) || '…[truncated]…' || chr(10) || right(x, CAST(floor((room - 15) / 2.0) AS BIGINT)) END AS x FROM w WHERE room > 0),
+a AS (SELECT qid, '## Top Matches' || chr(10) || chr(10) || max(x) FILTER (pos = 1) || coalesce(chr(10) || chr(10) || '## Additional Matches' || chr(10) || chr(10) || string_agg(x, chr(10) || chr(10) ORDER BY pos) FILTER (pos > 1), '') AS result FROM y GROUP BY qid)
+SELECT qid, coalesce('Error: ' || error, result, 'No matches found for query: "' || query || '"') AS result FROM judged LEFT JOIN a USING (qid)"""
+)
+def search_tool_answers(spark, sf_dir):
+    """Answers to a search call for each benchmark item, of its first words, some of them with bad arguments or without a match."""
+    chunks, docs = _data(spark, sf_dir)
+    n = F.col("item_id")
+    words = F.array_join(F.slice(tx.index_tokens(F.col("text")), 1, 3), " ")
+    to = F.when(n % 9 == 0, "2024-02-01").when(n % 4 == 0, "2024-09-30").when(n % 11 == 0, "1.2.2024")
+    calls = corpus.table(spark, sf_dir, "benchmark").select(n.alias("qid"), F.when(n % 7 == 0, " ").otherwise(words).alias("query"), (n % 13).alias("limit"), F.lit(None).cast("string").alias("category"), F.when(n % 3 == 0, "2024-03-01").alias("from_date"), to.alias("to_date"))
+    return retrieval.search_tool_answers(chunks, docs, calls, aliases={})
 
 
 # The library

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from corvidex.functions import fixed
 from corvidex.operators import bundle, catalog, search as s
 
 
@@ -105,6 +107,37 @@ def search_tool(chunks: DataFrame, documents: DataFrame, arguments: dict, limits
     return row["result"] if row else bundle.no_match(arguments["query"])
 
 
+def argument_error(limits: ToolLimits = ToolLimits()) -> Column:
+    """What is wrong with a row of search calls (query, limit, category, from_date, to_date), else null; as ``check_search_arguments``."""
+    dates = [F.coalesce(F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(True)) for c in ("from_date", "to_date")]
+    unknown = F.col("category").isNotNull() & ~F.col("category").isin(list(limits.categories)) if limits.categories else F.lit(False)
+    return (
+        F.when(F.coalesce(F.trim("query"), F.lit("")) == "", "query is required")
+        .when(F.coalesce(F.col("limit"), F.lit(0)) <= 0, "limit must be a positive integer")
+        .when(unknown, "unknown category")
+        .when(~(dates[0] & dates[1]), "dates must be YYYY-MM-DD")
+        .when(F.col("from_date") > F.col("to_date"), "from_date is after to_date")
+    )
+
+
+def search_tool_answers(chunks: DataFrame, documents: DataFrame, calls: DataFrame, limits: ToolLimits = ToolLimits(), params: s.SearchParams = s.SearchParams(), held: s.Index | None = None, aliases: Mapping = fixed.ALIASES) -> DataFrame:
+    """(qid, result): the text that the search tool answers each call (qid, query, limit, category, from_date, to_date) with, as ``search_tool``, for all calls in one job."""
+    judged = calls.withColumn("error", argument_error(limits))
+    good = judged.where("error IS NULL")
+    terms = s.compile_queries(good.select("qid", "query"), params, aliases)
+    about = documents.select("document_id", "source_path", "category", "document_date")
+    narrow = chunks.where("kind <> 'meta'").select(*s.KEY, "kind").join(about.select("document_id", "document_date"), "document_id")
+    ranked = s.scores(s.parts(held or s.index(chunks), terms, params).join(narrow, s.KEY), terms, ("kind", "document_date"))
+    dated = ranked.join(good.select("qid", "limit", "from_date", "to_date"), "qid")
+    dated = dated.where("(from_date IS NULL OR document_date >= from_date) AND (to_date IS NULL OR document_date <= to_date)")
+    top = s.rank_results(dated, replace(params, limit=limits.search_chunks)).where(F.col("pos") <= F.col("limit"))
+    hits = top.drop("document_date").join(chunks.select(*s.KEY, "text", "section_path"), s.KEY).join(about, "document_id")
+    answers = bundle.tool_result(bundle.tool_excerpts(hits, limits.search_chars))
+    none = F.replace(F.lit(bundle.NO_MATCH), F.lit("{query}"), F.col("query"))
+    error = F.concat(F.lit("Error: "), F.col("error"))
+    return judged.join(answers, "qid", "left").select("qid", F.coalesce(error, "result", none).alias("result"))
+
+
 def document_tool(chunks: DataFrame, documents: DataFrame, document_id: object, sections: list[str] | None = None, limits: ToolLimits = ToolLimits()) -> DataFrame:
     """(qid, result) of one document's chunks in order, of the named sections if there are any."""
     own = catalog.document_chunks(chunks, document_id, limits.document_chunks)
