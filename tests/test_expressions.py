@@ -77,7 +77,7 @@ def expression(r, depth):
 def test_random_expressions_equal_sqlite(spark):
     # In few deep nestings SQLite leaves a leaf that holds out of the score; the hits are the same.
     r = random.Random(11)
-    compare(spark, *chunks_of(spark, 5, 120), [expression(r, r.randrange(1, 4)) for _ in range(150)], other=2)
+    compare(spark, *chunks_of(spark, 5, 120), [expression(r, r.randrange(1, 4)) for _ in range(150)], other=3)
 
 
 def test_what_cannot_be_read(spark):
