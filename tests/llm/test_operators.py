@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from corvidex.llm import decontamination, jaccard_join, license_scan, packing, quality_rules, secret_scan, token_counts, toxicity, url_filters
+from corvidex.llm._session import Scratch
 from corvidex.llm._text import shingles, word_hashes
 from corvidex.llm.line_dedup import LineDedupParams, dedup_lines, winnow
 from tests.llm.cases import frame, same, texts, words
@@ -228,6 +229,15 @@ def bm25_shares(items, k1=1.2, b=0.75):
     return out
 
 
+def test_decontamination_goes_by_the_text_of_a_row(spark):
+    item, clean, other = words(70, 60), words(71, 60), words(72, 60)
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    rows = [(1, item), (1, clean), (2, other), (None, item), (None, clean), (3, None), (2, other)]
+    kept = decontamination.decontaminate(frame(spark, rows), bench).collect()
+    same([(r.doc_id, r.text) for r in kept], [(1, clean), (2, other), (None, clean), (3, None), (2, other)])
+    same([tuple(r)[:2] for r in decontamination.contaminated(frame(spark, rows), bench).collect()], [(1, 5), (None, 5)])
+
+
 def test_scores_are_bm25_shares_and_reach_the_threshold(spark):
     vocabulary = words(910, 60).split()
     r = random.Random(6)
@@ -382,7 +392,7 @@ def test_jaccard_join_equals_brute_force(spark):
     assert {x for x in got if x[0] in named} == set(named.values()) and links[1000]
     kept = jaccard_join.keep_one(frame(spark, rows))
     assert kept.columns == frame(spark).columns
-    ids = [None, None, *{x[3] for x in named.values()}, min(i for i, t in rows if i is not None and not t)]
+    ids = [None, *{x[3] for x in named.values()}, min(i for i, t in rows if i is not None and not t)]
     same([(r.doc_id,) for r in kept.collect()], [(i,) for i in ids])
     assert jaccard_join.jaccard_join(frame(spark, [])).count() == 0
 
@@ -397,14 +407,24 @@ def test_one_id_for_unrelated_texts_loses_none(spark):
     assert got == {(1, 0), (2, 0), (2, 1), (3, 1), (4, 0)}
 
 
+def test_rows_without_an_id_lead_only_where_none_has_one(spark):
+    """Eight pairs of a text without an id and a near copy with one, and pairs without any: one row of each stays, that with the id."""
+    pairs = [(words(900 + k, 90), " ".join([*words(900 + k, 90).split()[:-1], "other"])) for k in range(12)]
+    rows = [x for k, (a, b) in enumerate(pairs) for x in ((None, a), (50 + k if k < 8 else None, b), (None, a))]
+    kept = jaccard_join.keep_one(frame(spark, rows)).collect()
+    assert len(kept) == 12 and {(r.doc_id, r.text) for r in kept if r.doc_id} == {(50 + k, pairs[k][1]) for k in range(8)}
+    assert {r.group_id for r in jaccard_join.jaccard_join(frame(spark, rows[:24])).collect()} == set(range(50, 58))
+
+
 def test_a_long_chain_costs_in_proportion(spark):
     stream = words(800, 3000).split()
     rows = [(k, " ".join(stream[4 * k : 4 * k + 90])) for k in range(700)]
     params = jaccard_join.JaccardParams(block=16)
-    docs = jaccard_join._keyed(frame(spark, rows)).mapInArrow(jaccard_join._labels(params), "doc_id long, k1 long, k2 long, size long, nodes array<long>, rests array<long>")
+    docs = jaccard_join._keyed(frame(spark, rows)).mapInArrow(jaccard_join._labels(params), "doc_id long, k1 long, k2 long, size long, nodes array<long>")
     entries = docs.selectExpr("doc_id AS c", "size", "explode(nodes) AS node")
-    cells = jaccard_join._cells(entries.select("node", "c"), docs.selectExpr("doc_id AS c", "size"), params)
-    assert cells.count() < 10 * len(rows)
+    with Scratch(spark) as scratch:
+        cells = jaccard_join._cells(entries.select("node", "c"), docs.selectExpr("doc_id AS c", "size"), scratch, params)
+        assert cells.count() < 10 * len(rows)
     got = {r.doc_id: (r.n_links, r.group_id) for r in jaccard_join.jaccard_join(frame(spark, rows), params).collect()}
     # 86 shingles each; two neighbours a side share 78 or more of 94 at most.
     assert got == {k: (min(k, 2) + min(699 - k, 2), 0) for k in range(700)}
@@ -413,7 +433,7 @@ def test_a_long_chain_costs_in_proportion(spark):
 def test_prefixes_are_shortened_until_the_recall_is_reached():
     p = jaccard_join.JaccardParams()
     chance = lambda s, d: 1 - (1 - s**d) ** p.trees
-    assert p.depth(1.0) == p.longest_prefix > p.shortest_prefix == p.depth(0.8)
+    assert p.depth(1.0) == p.longest_prefix > p.prefix == p.depth(0.8) and chance(0.8, p.prefix) >= p.recall
     for s in (0.8, 0.83, 0.86, 0.9, 0.95):
         d = p.depth(s)
         assert chance(s, d) >= p.recall and (d == p.longest_prefix or chance(s, d + 1) < p.recall)
