@@ -5,14 +5,15 @@ stretch of lines with at least ``min_words`` words, counted from a line on
 (ahead) or back from it (behind). *Winnowing*: the smallest line hash of each
 window is selected as a fingerprint, a row of its own with its position; two
 equal runs of that many words select the same fingerprints, whatever stands
-around them. *Joining positions*: fingerprints that stand at one position only
-end the search there. *Extending*: from each position that is left, the match is
-extended to the left up to the windows that begin before it and to the right up
-to those that end behind it, and told apart by a hash of all the lines in
-between. Of equal stretches the first (by document id, then line) stays; later
-ones mark their lines, and marked stretches that touch or overlap make up the
-repeated runs, of any length, which are deleted. A copy inside one document
-loses only lines behind its first copy.
+around them. *Joining*: positions of fingerprints that stand at one position
+only are left out by a join with the others, and with them most windows. *Whole
+matches*: a fingerprint's position alone doesn't say which other one it matches,
+so the windows it was selected from are told apart by a hash of all their lines,
+and equal windows are joined with the first of them (by document id, then line).
+Windows begin and end at every line, to the left and right of a fingerprint, so
+those that match make up each repeated run to its ends; they are not extended
+line by line. Later windows mark their lines, and marked lines are deleted. A
+copy inside one document loses only lines behind its first copy.
 
 That is the same as deleting every line of every run of ``min_words`` words or
 more that also occurs earlier: each line of such a run stands in a window of
