@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corvidex.functions import blocks as md, control, fixed, text as tx
+from corvidex.functions import control, fixed, text as tx
+from corvidex.operators.segmentation import read_blocks
 
 
 @dataclass(frozen=True)
@@ -32,12 +33,6 @@ def last_uploads(read: DataFrame) -> DataFrame:
     return read.withColumn("__n", n).where("`__n` = 1 OR error_code IS NOT NULL").drop("__n")
 
 
-def read_blocks(documents: DataFrame, *more: str) -> DataFrame:
-    """(document_id, ``more``, pos, type, level, content, markup, subtype) of the blocks of ``body``."""
-    each = documents.select("document_id", *more, F.posexplode(md.parse("body")).alias("pos", "b"))
-    return each.select("document_id", *more, "pos", "b.*")
-
-
 def section_paths(blocks: DataFrame) -> DataFrame:
     """Blocks other than headings, with section_path (open headings joined by `` > ``) and the nearest heading.
 
