@@ -65,7 +65,8 @@ def read_lines(documents: DataFrame, *more: str) -> DataFrame:
     """(document_id, ``more``, n, raw, fence, closed): each line, or each fence whole under the number of its first line."""
     lines, fences = F.col("__lines"), F.col("__fences")
     d = documents.where("body <> ''").select("document_id", *more, F.split(F.translate("body", "\x01", ""), "\n", -1).alias("__lines"))
-    d = d.withColumn("__fences", _fences(lines))
+    none = F.array().cast("array<struct<first:int,last:int,closed:boolean>>")
+    d = d.withColumn("__fences", F.when(F.exists(lines, lambda x: x.contains("```") | x.contains("~~~")), _fences(lines)).otherwise(none))
 
     def rows(k: Column) -> Column:
         """Lines between fence k - 1 and fence k, then fence k."""
@@ -87,7 +88,8 @@ def _cells(row: Column) -> Column:
 def _classes(lines: DataFrame) -> DataFrame:
     """Columns of what a line is by itself."""
     s = F.col("s")
-    out = lines.withColumns({"depth": _depth(F.col("raw")), "s": _inside(F.substring_index("raw", "\n", 1))})
+    out = lines.withColumns({"depth": _depth(F.col("raw")), "s": _inside(F.when(F.col("fence"), F.substring_index("raw", "\n", 1)).otherwise(F.col("raw")))})
+    out = out.withColumn("raw", F.when(F.col("fence"), F.col("raw")))
     item, text = s.rlike(_ITEM), F.regexp_extract(s, _ITEM, 3)
     marker = F.regexp_extract(s, _ITEM, 2)
     out = out.withColumns(
