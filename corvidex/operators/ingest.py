@@ -101,7 +101,8 @@ def tagged_chunks(good: DataFrame, params: IngestParams = IngestParams()) -> Dat
     """Chunks of ``good`` (read controls, each document once) with their file's source_path and category, and whether the document holds equal ones (``doubled``).
 
     What chunks need of their document goes through the plan with its blocks, and
-    all windows are by document, so texts are dealt once and parsed once.
+    all windows are by document, so texts are dealt and parsed once, and their
+    blocks dealt once more behind the function for inline text.
     """
     more = ("source_path", "category")
     chunks = tag(chunkify(section_paths(read_blocks(good, *more)), params, more))
