@@ -46,7 +46,7 @@ class JaccardParams:
     similarity: tuple[int, int] = (4, 5)  # least intersection / union
     trees: int = 48
     longest_prefix: int = 12
-    recall: float = 0.9995
+    recall: float = 0.999999  # of links at the threshold itself
     block: int = 512  # texts of a block; a cell holds two
     block_shingles: int = 1 << 21  # shingles that a block holds on average at most
 
@@ -64,7 +64,7 @@ class JaccardParams:
 
 
 def _labels(params: JaccardParams):
-    """mapInArrow: each text's number of shingles and, for each tree, its node at the prefix that meets the recall."""
+    """mapInArrow: each text's number of different shingles and, for each tree, its node at the prefix that meets the recall."""
     depth = params.prefix
     rng = np.random.default_rng(5)
     a = rng.integers(1, 2**32, params.trees * depth, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -75,9 +75,12 @@ def _labels(params: JaccardParams):
             sizes, nodes = [np.zeros(0, np.int64)], []
             for _, texts in slices(batch, "text"):
                 value, row = shingles(*word_hashes(texts))
-                some, first, count = np.unique(row, return_index=True, return_counts=True)
-                size = np.zeros(len(texts), np.int64)
-                size[some] = count
+                some, first = np.unique(row, return_index=True)
+                # Bands go by sizes of sets: a text that repeats its shingles is as large as one that has each once.
+                order = np.lexsort((value, row))
+                new = np.ones(len(order), bool)
+                new[1:] = (value[order[1:]] != value[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+                size = np.bincount(row[order[new]], minlength=len(texts))
                 node = np.zeros((len(texts), params.trees), _U)
                 if len(some):
                     low = (value >> _U(32)).astype(np.uint32)
