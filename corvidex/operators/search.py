@@ -124,6 +124,16 @@ def compile_queries(queries: DataFrame, params: SearchParams = SearchParams(), a
 
 FEW = 1000  # query terms that go into a filter of the postings' scan
 BROADCAST_TERMS = 200_000  # rows of queries' terms that are sent to every task
+SPREAD = 32  # partitions for each one of the postings' scan, in which chunks meet terms and queries
+
+
+def by_chunk(places: DataFrame, posts: DataFrame) -> DataFrame:
+    """``places`` dealt by chunk into so many partitions that one holds the places of a few MB of texts.
+
+    Places shrink so much in the shuffle that its bytes don't tell what a task
+    will hold. What follows is by chunk, so nothing is dealt anew up to the ranks.
+    """
+    return places.repartition(SPREAD * posts.rdd.getNumPartitions(), *KEY)
 
 
 def _units(terms: DataFrame) -> DataFrame:
@@ -151,31 +161,37 @@ def match(posts: DataFrame, units: DataFrame, params: SearchParams = SearchParam
     """(q, is_prefix, document_id, chunk_no, n_terms, f): the weighted frequency of each term, prefix or phrase in each chunk.
 
     ``starts`` are the prefixes, if they are few; many are looked up in the
-    distinct ``terms`` first, and only theirs meet the postings.
+    distinct ``terms`` first, and only theirs meet the postings. Rows are dealt
+    by chunk.
     """
     kinds = [c for c in WEIGHTS if params.weights is None or c in params.weights]
     table = F.create_map(*[x for c in kinds for x in (F.lit(c), F.lit(float(params.weight(c))))])
-    columns = ["q", "is_prefix", *KEY, "n_terms", "col"]
+    columns = ["q", "is_prefix", *KEY, "n_terms", "col", "size", "start"]
+    # A word is a phrase of one, whose start is its place.
+    alone = [F.lit(1).alias("size"), F.col("pos").alias("start")]
     single = units.where("size(words) = 1")
-    found = posts.join(single.where("NOT is_prefix").select("q", "is_prefix"), F.col("term") == F.col("q")).select(columns)
+    found = posts.join(single.where("NOT is_prefix").select("q", "is_prefix"), F.col("term") == F.col("q")).select(*columns[:-2], *alone)
     if starts is None or len(starts):
         if starts is None:
             known = prefix_terms(posts if terms is None else terms, single.where("is_prefix").select(F.col("q").alias("start")))
             begun = posts.join(known, "term")
         else:
             begun = with_starts(posts, starts)
-        found = found.unionByName(begun.select(F.col("start").alias("q"), F.lit(True).alias("is_prefix"), *columns[2:]))
+        found = found.unionByName(begun.select(F.col("start").alias("q"), F.lit(True).alias("is_prefix"), *columns[2:-2], *alone))
     if phrases:
         words = units.where("size(words) > 1").select("q", "is_prefix", F.size("words").alias("size"), F.posexplode("words").alias("at", "word"))
-        held = posts.join(words, F.col("term") == F.col("word")).groupBy("q", "is_prefix", *KEY, "n_terms", "col", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("n"))
-        found = found.unionByName(held.where("n = size").select(columns))
+        found = found.unionByName(posts.join(words, F.col("term") == F.col("word")).select(*columns[:-1], (F.col("pos") - F.col("at")).alias("start")))
+    found = by_chunk(found, posts)
+    if phrases:
+        found = found.groupBy(columns).agg(F.count("*").alias("n")).where("n = size")
     return found.groupBy("q", "is_prefix", *KEY, "n_terms").agg(F.sum(F.element_at(table, F.col("col"))).alias("f"))
 
 
-def bm25(matched: DataFrame, stats: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
-    """(q, is_prefix, document_id, chunk_no, part): what each term adds to a chunk's weighted BM25."""
+def bm25(matched: DataFrame, stats: DataFrame, params: SearchParams = SearchParams(), few: bool = False) -> DataFrame:
+    """(q, is_prefix, document_id, chunk_no, part): what each term adds to a chunk's weighted BM25; frequencies of ``few`` terms are sent to every task."""
     df = matched.groupBy("q", "is_prefix").agg(F.count("f").alias("n_q"))  # of f, so that both sides of the join share one scan
-    scored = matched.join(df, ["q", "is_prefix"]).join(F.broadcast(stats))  # one row
+    # Dealt by term, all chunks of a common one would meet in one task.
+    scored = matched.join(F.broadcast(df) if few else df, ["q", "is_prefix"]).join(F.broadcast(stats))  # one row
     idf = F.log((F.col("n_rows") - F.col("n_q") + 0.5) / (F.col("n_q") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     norm = params.k1 * (1 - params.b + params.b * F.col("n_terms") / F.col("avg_terms"))
@@ -190,10 +206,11 @@ def parts(held: Index, terms: DataFrame, params: SearchParams = SearchParams())
         posts = restrict(held.postings, [(w, r.is_prefix and len(r.words) == 1) for r in few for w in r.words])
         starts, phrases = [r.q for r in few if r.is_prefix and len(r.words) == 1], any(len(r.words) > 1 for r in few)
     else:
-        posts = held.postings
+        posts, few = held.postings, None
         prefixes, phrases = units.agg(F.max("is_prefix"), F.max(F.size("words") > 1)).first()
         starts = None if prefixes else []
-    return bm25(match(posts, units, params, starts, phrases, held.terms), held.corpus, params)
+    sent = few is not None or units.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return bm25(match(posts, units, params, starts, phrases, held.terms), held.corpus, params, sent)
 
 
 def scores(each: DataFrame, terms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -203,8 +220,8 @@ def scores(each: DataFrame, terms: DataFrame, by: Sequence[str] = ()) -> DataFra
     """
     wanted = terms.select("qid", F.col("term").alias("q"), "is_prefix").distinct()
     if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        # Dealt by chunk, all of a chunk's terms meet its queries in one place; nothing is dealt anew for the sum.
-        each, wanted = each.repartition(*KEY), F.broadcast(wanted)
+        # All of a chunk's terms meet its queries where they are; nothing is dealt anew for the sum.
+        wanted = F.broadcast(wanted)
     return each.join(wanted, ["q", "is_prefix"]).groupBy("qid", *KEY, *by).agg(F.round(-F.sum("part"), 12).alias("rank"))
 
 
@@ -257,7 +274,7 @@ def search(chunks: DataFrame, documents: DataFrame, terms: DataFrame, filters: F
     """Ranked, capped hits of every query, with the chunk's and the document's columns; ``held`` is a written index of ``chunks``."""
     about = documents.select("document_id", "source_path", "category", "document_date")
     allowed = apply_filters(chunks.select(*KEY, "kind", "section_path").join(about, "document_id"), filters).select(*KEY, "kind", "document_date")
-    each = parts(held or index(chunks), terms, params).repartition(*KEY).join(allowed, KEY)
+    each = parts(held or index(chunks), terms, params).join(allowed, KEY)
     top = rank_results(scores(each, terms, ("kind", "document_date")), params)
     rest = chunks.select(*KEY, *[c for c in chunks.columns if c not in (*KEY, "kind")])
     return top.join(rest, KEY).join(about.drop("document_date"), "document_id")
