@@ -213,16 +213,23 @@ def parts(held: Index, terms: DataFrame, params: SearchParams = SearchParams())
     return bm25(match(posts, units, params, starts, phrases, held.terms), held.corpus, params, sent)
 
 
+def exact_sum(x: str) -> Column:
+    """The sum of a column of doubles below 2^29 in all, the same in whatever order: multiples of 2^-24 add up without error, and the rest is too small for its own to count."""
+    high = F.floor(F.col(x) * 2.0**24) / F.lit(2.0**24)
+    return F.sum(high) + F.sum(F.col(x) - high)
+
+
 def scores(each: DataFrame, terms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(qid, document_id, chunk_no, rank) from ``parts``: BM25 as a negative number, the best first in ascending order; ``by`` names further columns of a chunk.
 
-    Rounded to 12 places, so that the order of summing doesn't break ties.
+    Summed without regard to the order, and rounded to 12 places, so that equal
+    chunks have equal ranks.
     """
     wanted = terms.select("qid", F.col("term").alias("q"), "is_prefix").distinct()
     if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         # All of a chunk's terms meet its queries where they are; nothing is dealt anew for the sum.
         wanted = F.broadcast(wanted)
-    return each.join(wanted, ["q", "is_prefix"]).groupBy("qid", *KEY, *by).agg(F.round(-F.sum("part"), 12).alias("rank"))
+    return each.join(wanted, ["q", "is_prefix"]).groupBy("qid", *KEY, *by).agg(F.round(-exact_sum("part"), 12).alias("rank"))
 
 
 @dataclass(frozen=True)

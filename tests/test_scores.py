@@ -1,10 +1,26 @@
-"""Chunks of a common term aren't brought together."""
+"""Scores don't hang on the order of summing, and chunks of a common term aren't brought together."""
+
+import operator
+import random
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from corvidex.operators import search as s
 
 
+def test_equal_chunks_have_equal_ranks(spark):
+    r = random.Random(1)
+    while True:  # parts whose plain sums fall on two sides of a rounding edge
+        parts = [r.uniform(1, 15) for _ in range(30)]
+        if round(reduce(operator.add, parts), 12) != round(reduce(operator.add, reversed(parts)), 12):
+            break
+    rows = [(f"t{i}", False, 1, 0, x) for i, x in enumerate(parts)] + [(f"t{i}", False, 2, 0, x) for i, x in reversed(list(enumerate(parts)))]
+    each = spark.createDataFrame(rows, "q string, is_prefix boolean, document_id long, chunk_no int, part double").coalesce(1)
+    terms = spark.createDataFrame([(0, f"t{i}", False) for i in range(30)], "qid long, term string, is_prefix boolean")
+    assert len({x.rank for x in s.scores(each, terms).collect()}) == 1
+
+
 def _chunks(spark):
     rows = [(i, 0, "section", f"some of the text {i}", "a", "b", "en") for i in range(400)]
     return spark.createDataFrame(rows, "document_id long, chunk_no int, kind string, text string, section_path string, heading string, tags_text string")
