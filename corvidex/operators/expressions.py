@@ -29,9 +29,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corvidex.functions import text as tx
-from corvidex.operators.search import FEW, KEY, WEIGHTS, Index, SearchParams, bm25, prefix_terms, restrict, with_starts
+from corvidex.operators.search import BROADCAST_TERMS, FEW, KEY, WEIGHTS, Index, SearchParams, bm25, by_chunk, prefix_terms, restrict, with_starts
 
 AND, OR, NOT, BESIDE = -1, -2, -3, -4
+TOLD = 8  # leaves of an expression up to which its program runs beforehand, for every set of them
 
 _TOKEN = re.compile(r'\s*(?:(?P<quoted>"(?:[^"]|"")*")|(?P<word>[\w\x1a]+)|(?P<sign>[(){}:*+-]))')
 _READ = "struct<error: string, leaves: array<struct<text: string, prefix: boolean, columns: array<string>>>, program: array<int>>"
@@ -192,7 +193,7 @@ def _match(held: Index, leaves: DataFrame, params: SearchParams) -> DataFrame:
     if many or starts:
         begun = posts.join(prefix_terms(posts if held.terms is None else held.terms, word.where(begins).select(F.col("word").alias("start"))), "term") if many else with_starts(posts, starts)
         places = places.unionByName(begun.join(word.where(begins), F.col("start") == F.col("word")).drop("start", "word"))
-    places = places.where(F.array_contains("columns", F.col("col")))
+    places = by_chunk(places.where(F.array_contains("columns", F.col("col"))), posts)
     # A phrase stands where all its words do, one after another in one column; a word is a phrase of one.
     start = (F.col("pos") - F.col("at")).alias("start")
     found = places.groupBy("q", "is_prefix", *KEY, "n_terms", "col", "size", start).agg(F.count("*").alias("n")).where("n = size")
@@ -229,11 +230,23 @@ def counting(program: Column, absent: Column, held: Column) -> Column:
 def evaluate(held: Index, parsed: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
     """(qid, document_id, chunk_no, rank) of the chunks for which each parsed expression holds; rank as of ``search.scores``."""
     leaves = _leaves(parsed)
-    each = bm25(_match(held, leaves, params), held.corpus, params).select("q", *KEY, "part")
-    met = each.join(leaves.select("qid", "leaf", "q"), "q").groupBy("qid", *KEY).agg(F.map_from_entries(F.collect_list(F.struct("leaf", "part"))).alias("parts"))
+    wanted = leaves.select("qid", "leaf", "q")
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    each = bm25(_match(held, leaves, params), held.corpus, params, few).select("q", *KEY, "part")
+    mask = F.bit_or(F.when(F.col("leaf") < TOLD, F.call_function("shiftleft", F.lit(1), F.col("leaf"))).otherwise(0)).alias("mask")
+    met = each.join(F.broadcast(wanted) if few else wanted, "q").groupBy("qid", *KEY).agg(F.map_from_entries(F.collect_list(F.struct("leaf", "part"))).alias("parts"), mask)
     absent = leaves.groupBy("qid").agg(F.collect_list(F.when(F.size("words") == 0, F.col("leaf"))).alias("absent"))
-    run = met.join(parsed.select("qid", "program").join(absent, "qid"), "qid")
-    run = run.withColumn("counts", counting(F.col("program"), F.col("absent"), F.map_keys("parts"))).where(F.size("counts") > 0)
+    programs = parsed.select("qid", "program", F.size("leaves").alias("n")).join(absent, "qid")
+    # The program of an expression of few leaves runs once for each set of them, not for each chunk.
+    told = programs.where(F.col("n") <= TOLD).withColumn("mask", F.explode(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.col("n")) - 1)))
+    holds = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.call_function("getbit", F.col("mask"), i) == 1)
+    told = told.select("qid", "mask", counting(F.col("program"), F.col("absent"), holds).alias("counts")).where(F.size("counts") > 0)
+    run = met.join(F.broadcast(told) if few else told, ["qid", "mask"]).select("qid", *KEY, "parts", "counts")
+    if (most := parsed.agg(F.max(F.size("leaves"))).first()[0]) is not None and most > TOLD:
+        long = programs.where(F.col("n") > TOLD).drop("n")
+        each = met.drop("mask").join(F.broadcast(long) if few else long, "qid")
+        each = each.withColumn("counts", counting(F.col("program"), F.col("absent"), F.map_keys("parts"))).where(F.size("counts") > 0)
+        run = run.unionByName(each.select(run.columns))
     total = F.aggregate("counts", F.lit(0.0), lambda s, x: s + F.element_at("parts", x))
     return run.select("qid", *KEY, F.round(-total, 12).alias("rank"))
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from corvidex.operators import search as s
+from corvidex.operators import expressions, search as s
 
 
 def test_equal_chunks_have_equal_ranks(spark):
@@ -33,3 +33,13 @@ def test_chunks_of_one_term_or_phrase_are_dealt_over_many_tasks(spark):
         ranks = s.scores(s.parts(held, terms), terms).withColumn("task", F.spark_partition_id())
         found = [x["count"] for x in ranks.groupBy("task").count().collect()]
         assert sum(found) == 400 and max(found) <= 40
+
+
+def test_programs_of_few_and_of_many_leaves_agree(spark):
+    held = s.index(_chunks(spark))
+    long = " OR ".join(["(some AND 7) NOT text"] * 3 + ["7"] * 3)
+    queries = spark.createDataFrame([(0, "some AND 7"), (1, long), (2, '"of the" NOT 7'), (3, "")], "qid long, query string")
+    found = {}
+    for x in expressions.search_expressions(held, queries).collect():
+        found.setdefault(x.qid, set()).add(x.document_id)
+    assert found == {0: {7}, 1: {7}, 2: set(range(400)) - {7}}
