@@ -238,7 +238,7 @@ def evaluate(held: Index, parsed: DataFrame, params: SearchParams = SearchParams
     absent = leaves.groupBy("qid").agg(F.collect_list(F.when(F.size("words") == 0, F.col("leaf"))).alias("absent"))
     programs = parsed.select("qid", "program", F.size("leaves").alias("n")).join(absent, "qid")
     # The program of an expression of few leaves runs once for each set of them, not for each chunk.
-    told = programs.where(F.col("n") <= TOLD).withColumn("mask", F.explode(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.col("n")) - 1)))
+    told = programs.where(F.col("n").between(1, TOLD)).withColumn("mask", F.explode(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.col("n")) - 1)))
     holds = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.call_function("getbit", F.col("mask"), i) == 1)
     told = told.select("qid", "mask", counting(F.col("program"), F.col("absent"), holds).alias("counts")).where(F.size("counts") > 0)
     run = met.join(F.broadcast(told) if few else told, ["qid", "mask"]).select("qid", *KEY, "parts", "counts")

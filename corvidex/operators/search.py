@@ -133,7 +133,7 @@ def by_chunk(places: DataFrame, posts: DataFrame) -> DataFrame:
     Places shrink so much in the shuffle that its bytes don't tell what a task
     will hold. What follows is by chunk, so nothing is dealt anew up to the ranks.
     """
-    return places.repartition(SPREAD * posts.rdd.getNumPartitions(), *KEY)
+    return places.repartition(SPREAD * max(1, posts.rdd.getNumPartitions()), *KEY)
 
 
 def _units(terms: DataFrame) -> DataFrame:
