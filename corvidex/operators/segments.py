@@ -1,7 +1,7 @@
 """Segments of a written search index: a change writes its own postings, and segments merge as they grow.
 
-A segment holds the postings of some documents, sorted by term, the lengths of
-their chunks, the distinct terms, and the ids of documents that older segments no
+A segment holds the postings of some documents, each file sorted by term and of few
+documents, as a text is far smaller than its places; the lengths of their chunks, the distinct terms, and the ids of documents that older segments no
 longer count for. A new segment takes in those before it while they aren't
 ``fanout`` times its size, so sizes fall from the oldest to the newest by that
 factor, their number grows with the logarithm of the index, and a row is
@@ -14,13 +14,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import ceil
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from corvidex.operators import search as s
-from corvidex.sources.versions import Version, Versions
+from corvidex.sources.versions import SENT, Version, Versions
 
+SHARE = 6e6  # bytes of files whose places are sorted in one task: some 50 times as many in memory
 _PARTS = ("postings", "lengths")
 
 
@@ -48,8 +50,9 @@ def _live(store: Versions, segments: Sequence[dict], part: str) -> DataFrame:
     """Rows of the segments whose document no later one of them replaces."""
     rows = _read(store, segments, part)
     if any(g["n_gone"] for g in segments[1:]):
-        gone = _read(store, segments, "gone").groupBy("document_id").agg(F.max("segment").alias("last"))
-        rows = rows.join(gone.withColumnRenamed("document_id", "gone_id"), (F.col("document_id") == F.col("gone_id")) & (F.col("segment") < F.col("last")), "left_anti")
+        gone = _read(store, segments, "gone").select(F.col("document_id").alias("gone_id"), F.col("segment").alias("last"))
+        gone = F.broadcast(gone) if sum(g["n_gone"] for g in segments) <= SENT else gone
+        rows = rows.join(gone, (F.col("document_id") == F.col("gone_id")) & (F.col("segment") < F.col("last")), "left_anti")
     return rows.drop("segment")
 
 
@@ -65,18 +68,29 @@ def merged(segments: Sequence[dict], n_documents: int, n_gone: int, params: Segm
     return n
 
 
-def change(store: Versions, version: Version, chunks: DataFrame, ids: DataFrame, params: SegmentParams = SegmentParams()) -> Version:
-    """``version`` with the documents ``ids`` replaced in the index by what ``chunks`` holds of them: written, not published."""
+def _dealt(store: Versions, rows: DataFrame, folders: Sequence[str]) -> DataFrame:
+    """``rows``, read from the folders, dealt by document into so many partitions that their places are sorted in memory."""
+    return rows.repartition(max(1, ceil(store.size(folders) / SHARE)), "document_id")
+
+
+def change(store: Versions, version: Version, chunks: DataFrame, ids: DataFrame, params: SegmentParams = SegmentParams(), folders: Sequence[str] = ()) -> Version:
+    """``version`` with the documents ``ids`` replaced in the index by ``chunks``, all of them of these documents: written, not published.
+
+    ``chunks`` that were read from ``folders`` are dealt first, before they become
+    places; a partition becomes one file of postings.
+    """
     ids = ids.select("document_id").distinct()
-    made = s.index(chunks.withColumn("chunk_no", F.col("chunk_no").cast("int")).join(ids, "document_id", "left_semi"))
+    chunks = chunks.withColumn("chunk_no", F.col("chunk_no").cast("int"))
     n_ids = ids.count()
     n = merged(version.segments, n_ids, n_ids if version.segments else 0, params)
     kept, taken = list(version.segments[: len(version.segments) - n]), list(version.segments[len(version.segments) - n :])
-    parts = {"postings": made.postings, "lengths": made.lengths}
+    parts = {"postings": s.postings(_dealt(store, chunks, folders) if folders else chunks), "lengths": s.lengths(chunks)}
     gone = ids
     if taken:
+        replaced = F.broadcast(ids) if n_ids <= SENT else ids
         for part in _PARTS:
-            parts[part] = _live(store, taken, part).join(ids, "document_id", "left_anti").unionByName(parts[part])
+            old = _live(store, taken, part).join(replaced, "document_id", "left_anti")
+            parts[part] = _dealt(store, old, [f"{g['folder']}/{part}" for g in taken]).unionByName(parts[part])
         gone = gone.union(_read(store, taken, "gone").select("document_id")).distinct()
     if not kept:
         gone = gone.limit(0)

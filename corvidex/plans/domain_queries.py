@@ -151,7 +151,8 @@ def library_documents(spark, sf_dir):
     """Documents and chunks of the library's last version."""
     held = _changed_library(spark, sf_dir)
     rows = held.read("chunks").groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.max("chunk_no").alias("last_no"))
-    return rows.join(held.read("documents"), "document_id").select("document_id", "category", "n_chunks", "last_no", F.length("raw_text").alias("n_chars"))
+    docs = held.read("documents").select("document_id", "category", F.length("raw_text").alias("n_chars"))
+    return rows.join(docs, "document_id").select("document_id", "category", "n_chunks", "last_no", "n_chars")
 
 
 # Catalog

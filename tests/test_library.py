@@ -215,3 +215,33 @@ def test_last_of_repeated_documents_and_batches(spark, tmp_path):
     assert [r.source_path for r in store.read("documents").collect()] == ["later.md"]
     assert lib.put(store, docs, chunks, ("s", 3)).number == lib.put(store, docs, chunks, ("s", 2)).number == 1
     assert lib.put(store, docs, chunks, ("t", 0)).number == 2
+
+
+def test_change_writes_its_own_rows_until_much_of_a_bucket_is_gone(spark, tmp_path):
+    root = str(tmp_path / "kb")
+    store = lib.open_library(spark, root, 1)
+    ids = [f"d{i}" for i in range(10)]
+    lib.put(store, *frames(spark, ids))
+    old = files(root)
+    lib.put(store, *frames(spark, ["d1", "new"], 1))
+    wrote = lambda kind: spark.read.parquet(*[f for f in files(root) - old if f"{os.sep}{kind}{os.sep}" in f]).count()
+    assert (wrote("documents"), wrote("documents-gone"), wrote("chunks"), wrote("chunks-gone")) == (2, 1, 6, 1)
+    lib.put(store, *frames(spark, ["d1", "d2", "d3", "d4"], 2))
+    layers = store.latest().tables["chunks"]["buckets"]["0"]
+    assert [n for _, n in layers["layers"]] == [7, 4] and layers["gone"] == []
+    got = {(r.document_id, r.chunk_no, r.heading) for r in store.read("chunks").collect()}
+    assert got == {(i, k, "v2" if i in ("d1", "d2", "d3", "d4") else "v1" if i == "new" else "v0") for i in [*ids, "new"] for k in range(3)}
+    assert store.vacuum() > 0 and store.read("chunks").count() == 33
+
+
+def test_places_of_a_written_index_are_not_dealt(spark, tmp_path, monkeypatch):
+    seen = []
+    write = s.write_parts
+    monkeypatch.setattr(segments.s, "write_parts", lambda posts, sizes, path: (seen.append(posts._jdf.queryExecution().executedPlan().toString()), write(posts, sizes, path)))
+    store = lib.open_library(spark, str(tmp_path / "kb"), 1)
+    lib.put(store, *frames(spark, ["a", "b"]))
+    (plan,) = seen
+    below = plan[plan.rindex("Generate") :]
+    assert plan.count("Exchange") == 1 == below.count("Exchange")
+    held = segments.read_index(store).postings
+    assert held.count() == 2 * 3 * (5 + 1)
