@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import cache, reduce
 from operator import or_
 
 import pandas as pd
@@ -13,11 +13,37 @@ from pyspark.sql import Column, functions as F, types as T
 from corvidex.functions import fixed
 
 
+@cache
+def _stable_letters() -> str:
+    """Ranges, for a character class, of letters that NFKC leaves as they are in whatever text: up to U+052F, and the four longest beyond.
+
+    Left out are letters that NFKC changes, combining marks, and letters that join with one before them.
+    """
+    joined = {chr(int(parts[1], 16)) for c in map(chr, range(0x110000)) if len(parts := unicodedata.decomposition(c).split()) == 2 and parts[0][0] != "<"}
+    joined |= set(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))  # vowels and ends of Hangul syllables
+    runs: list[list[int]] = []
+    for n in [*range(0xD800), *range(0xE000, 0x10000)]:
+        c = chr(n)
+        if not unicodedata.combining(c) and c not in joined and unicodedata.is_normalized("NFKC", c):
+            if runs and runs[-1][1] == n - 1 and n != 0x530:
+                runs[-1][1] = n
+            else:
+                runs.append([n, n])
+    kept = [r for r in runs if r[1] < 0x530] + sorted([r for r in runs if r[0] >= 0x530], key=lambda r: r[0] - r[1])[:4]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in kept)
+
+
 @F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(text: Column) -> Column:
+    """NFKC; only texts with a letter that it may change are sent to Python, so that a batch of long texts doesn't lie there whole."""
+    needs = text.rlike(rf"[[^\x00-\x7F]&&[^{_stable_letters()}]]")
+    return F.coalesce(_nfkc(F.when(needs, text)), text)
+
+
 def fold(text: Column) -> Column:
     """Lower case, then ё as е."""
     return F.replace(F.lower(text), F.lit("ё"), F.lit("е"))

@@ -205,8 +205,10 @@ def read_blocks(documents: DataFrame, *more: str) -> DataFrame:
     padded = F.transform(F.filter(sources, lambda _, i: i != 1), lambda r: F.slice(F.concat(_cells(r), F.array_repeat(F.lit(""), header)), F.lit(1), header))
     parts = F.when(c("what") == "table", F.flatten(padded)).when(c("what") == "list", F.split(F.substr(text, F.lit(2)), "\n\x01", -1)).when(c("what") == "fence", F.array()).otherwise(F.array(text))
     b = b.select("document_id", *more, "block", "what", "level", "under", content.alias("code"), info.alias("info"), header.alias("width"), parts.alias("parts"))
-    b = b.withColumn("plain", md.plain("parts"))
-    told = c("plain.parts")
+    # Blocks without inline marks, most of all texts, aren't sent to Python.
+    b = b.withColumn("plain", md.marked(F.when(F.exists("parts", md.has_marks), c("parts"))))
+    b = b.withColumn("told", F.coalesce("plain.parts", F.transform("parts", md.unmarked)))
+    told = c("told")
     table = F.array_join(F.transform(F.sequence(F.lit(0), (F.size(told) / F.greatest(c("width"), F.lit(1))).cast("int") - 1), lambda k: F.array_join(F.slice(told, k * c("width") + 1, c("width")), " | ")), "\n")
     listed = F.array_join(F.transform(F.filter(told, lambda t: t != ""), lambda t: F.concat(F.lit("- "), t)), "\n")
     kind = F.when(c("under") & (c("what") == "paragraph"), "heading").otherwise(c("what"))

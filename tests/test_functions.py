@@ -1,10 +1,13 @@
+import random
+import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from corvidex.functions import control, text as tx
+from corvidex.functions import blocks, control, text as tx
 from corvidex.functions.blocks import inline
+from corvidex.operators import segmentation
 
 
 def one(spark, expr, **values):
@@ -97,3 +100,27 @@ def test_body(spark):
 
 def test_inline():
     assert inline(r"\*x\* ``a`b``") == "*x* a`b"
+
+
+def test_only_texts_that_nfkc_may_change_go_to_python(spark):
+    r = random.Random(3)
+    pool = ["a", " ", "é", "e\u0301", "я", "и\u0306", "\u0301", "①", "ﬁ", "\u00a0", "…", "ё", "漢", "가", "\u1100", "\u1161", "\u11a8", "\u0915\u093c", "\u09c7\u09be", "が", "か\u3099", "Å", "\u0338", "=", "😀", "\U0001d400", "ſ", "\u0323", "\n"]
+    texts = ["".join(r.choices(pool, k=r.randint(0, 6))) for _ in range(3000)] + [chr(n) for n in [*range(1, 0xD800), *range(0xE000, 0x11000)]] + [None, "a" * 50_000]
+    # Each of the letters that aren't sent stays one behind any other.
+    calm = [c for c in map(chr, range(0x20, 0xD800)) if re.fullmatch("[" + re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), tx._stable_letters()) + "]", c)]
+    texts += ["".join(r.choices(calm[:1500], k=30)) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.nfkc(F.col("t")).alias("x"))
+    assert [x.x for x in df.collect()] == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+    assert "_nfkc(CASE WHEN RLIKE" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calm) > 30_000
+
+
+def test_only_marked_blocks_go_to_python(spark):
+    r = random.Random(4)
+    pool = ["a", "b c", " ", "\n", "\t", "*", "**", "_", "__", "`", "\\", "!", "[", "](", ")", "]", "<", "<http://x>", "mailto:", ">", "\u00a0", "\u2028", "\x1f", ":", "  \n "]
+    texts = ["".join(r.choices(pool, k=r.randint(0, 8))) for _ in range(5000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(blocks.has_marks(F.col("t")).alias("m"), blocks.unmarked(F.col("t")).alias("x")).collect()
+    assert 500 < sum(x.m for x in rows) < 4500
+    assert all(x.m or x.x == blocks.inline(t) and not blocks.subtype(t) for t, x in zip(texts, rows))
+    plan = segmentation.read_blocks(spark.createDataFrame([("d", "a\n\nb")], "document_id string, body string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "marked(CASE WHEN exists" in plan
