@@ -5,7 +5,8 @@ documents, as a text is far smaller than its places; the lengths of their chunks
 longer count for. A new segment takes in those before it while they aren't
 ``fanout`` times its size, so sizes fall from the oldest to the newest by that
 factor, their number grows with the logarithm of the index, and a row is
-rewritten as often. When more than ``dead`` of all documents have been replaced,
+rewritten as often. A document weighs as much as ``places`` ids: a removal, which
+has ids alone, rewrites no places until much is gone. When more than ``dead`` of all documents have been replaced,
 all segments become one. A reader leaves out replaced documents by one anti-join
 with the ids of all segments, however many there are.
 """
@@ -30,6 +31,7 @@ _PARTS = ("postings", "lengths")
 class SegmentParams:
     fanout: int = 4
     dead: float = 0.3
+    places: int = 100
 
 
 def _schema(part: str, id_type: str) -> str:
@@ -57,14 +59,15 @@ def _live(store: Versions, segments: Sequence[dict], part: str) -> DataFrame:
 
 
 def merged(segments: Sequence[dict], n_documents: int, n_gone: int, params: SegmentParams) -> int:
-    """How many of the newest segments a new one of so many documents takes in."""
+    """How many of the newest segments a new one takes in that has so many documents, and replaces so many."""
     if n_gone + sum(g["n_gone"] for g in segments) > params.dead * (n_documents + sum(g["n_documents"] for g in segments)):
         return len(segments)
-    size, n = n_documents, 0
+    size, n = params.places * n_documents + n_gone, 0
     for g in reversed(segments):
-        if g["n_documents"] >= params.fanout * size:
+        weight = params.places * g["n_documents"] + g["n_gone"]
+        if weight >= params.fanout * size:
             break
-        size, n = size + g["n_documents"], n + 1
+        size, n = size + weight, n + 1
     return n
 
 
@@ -82,7 +85,7 @@ def change(store: Versions, version: Version, chunks: DataFrame, ids: DataFrame,
     ids = ids.select("document_id").distinct()
     chunks = chunks.withColumn("chunk_no", F.col("chunk_no").cast("int"))
     n_ids = ids.count()
-    n = merged(version.segments, n_ids, n_ids if version.segments else 0, params)
+    n = merged(version.segments, 0 if chunks.isEmpty() else n_ids, n_ids if version.segments else 0, params)
     kept, taken = list(version.segments[: len(version.segments) - n]), list(version.segments[len(version.segments) - n :])
     parts = {"postings": s.postings(_dealt(store, chunks, folders) if folders else chunks), "lengths": s.lengths(chunks)}
     gone = ids

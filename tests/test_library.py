@@ -245,3 +245,26 @@ def test_places_of_a_written_index_are_not_dealt(spark, tmp_path, monkeypatch):
     assert plan.count("Exchange") == 1 == below.count("Exchange")
     held = segments.read_index(store).postings
     assert held.count() == 2 * 3 * (5 + 1)
+
+
+def test_removal_rewrites_no_places(spark, tmp_path):
+    store = lib.open_library(spark, str(tmp_path / "kb"), 1)
+    lib.put(store, *frames(spark, [f"d{i}" for i in range(50)]))
+    before = list(lib.put(store, *frames(spark, [f"d{i}" for i in range(10)], 1)).segments)
+    after = lib.remove(store, spark.createDataFrame([("d1",), ("d2",), ("d20",)], "document_id string"))
+    assert list(after.segments[:-1]) == before and len(before) == 2 and (after.segments[-1]["n_documents"], after.segments[-1]["n_gone"]) == (0, 3)
+    live = {f"d{i}" for i in range(50)} - {"d1", "d2", "d20"}
+    assert {r.document_id for r in segments.read_index(store).lengths.collect()} == live
+    # What comes back counts, and the ids of a removal go into the next segment.
+    after = lib.put(store, *frames(spark, ["d1", "d2"], 2))
+    assert list(after.segments[:-1]) == before and after.segments[-1]["n_gone"] == 3
+    assert {r.document_id for r in segments.read_index(store).postings.collect()} == live | {"d1", "d2"}
+
+
+def test_removals_by_themselves_are_few_segments():
+    params, held = segments.SegmentParams(), [{"n_documents": 10_000, "n_gone": 0}]
+    for n in range(2000):
+        k = segments.merged(held, 0, 1, params)
+        taken = held[len(held) - k :]
+        held = held[: len(held) - k] + [{"n_documents": 0, "n_gone": 1 + sum(g["n_gone"] for g in taken)}]
+        assert len(held) <= 9 and held[0]["n_documents"] == 10_000, n
