@@ -25,11 +25,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvidex.functions import text as tx
-from corvidex.operators.search import BROADCAST_TERMS, FEW, KEY, WEIGHTS, Index, SearchParams, bm25, by_chunk, prefix_terms, restrict, with_starts
+from corvidex.operators.search import BROADCAST_TERMS, FEW, FEW_STARTS, KEY, WEIGHTS, Index, SearchParams, bm25, by_chunk, prefix_terms, restrict, with_words
 
 AND, OR, NOT, BESIDE = -1, -2, -3, -4
 TOLD = 8  # leaves of an expression up to which its program runs beforehand, for every set of them
@@ -178,27 +180,31 @@ def _leaves(parsed: DataFrame) -> DataFrame:
     return each.withColumn("q", F.concat_ws("\n", F.concat_ws(" ", "words"), F.col("is_prefix").cast("string"), F.concat_ws(" ", "columns")))
 
 
-def _match(held: Index, leaves: DataFrame, params: SearchParams) -> DataFrame:
-    """(q, is_prefix, document_id, chunk_no, n_terms, f) of each distinct leaf; f is the weighted number of its places."""
+def _match(held: Index, leaves: DataFrame, params: SearchParams, sent: bool) -> DataFrame:
+    """(q, is_prefix, document_id, chunk_no, n_terms, f) of each distinct leaf, whose q tells prefixes too; f is the weighted number of its places. Leaves are ``sent`` to every task if they are few."""
     units = leaves.where(F.size("words") > 0).select("q", "words", "is_prefix", "columns").distinct()
     word = units.select("q", "is_prefix", "columns", F.size("words").alias("size"), F.posexplode("words").alias("at", "word"))
-    begins = F.col("is_prefix") & (F.col("at") == F.col("size") - 1)
-    whole = word.where(~begins).withColumn("term", F.col("word"))
+    word = word.withColumn("begins", F.col("is_prefix") & (F.col("at") == F.col("size") - 1)).drop("is_prefix")
     # Few queries filter the postings where they are scanned.
-    few = word.select("word", begins.alias("begins")).distinct().limit(FEW + 1).collect()
-    many = len(few) > FEW
-    posts = held.postings if many else restrict(held.postings, [tuple(x) for x in few])
-    places = posts.join(whole.drop("word"), "term")
-    starts = [x.word for x in few if x.begins]
-    if many or starts:
-        begun = posts.join(prefix_terms(posts if held.terms is None else held.terms, word.where(begins).select(F.col("word").alias("start"))), "term") if many else with_starts(posts, starts)
-        places = places.unionByName(begun.join(word.where(begins), F.col("start") == F.col("word")).drop("start", "word"))
-    places = by_chunk(places.where(F.array_contains("columns", F.col("col"))), posts)
+    few = word.select("word", "begins").distinct().limit(FEW + 1).collect()
+    many, starts = len(few) > FEW, [x.word for x in few if x.begins]
+    posts = held.postings if many or len(starts) > FEW_STARTS else restrict(held.postings, [tuple(x) for x in few])
+    # Places of a word are dealt once, and meet the leaves that have it where they arrive.
+    single = word.select("word", "begins").distinct()
+    if (many or len(starts) > FEW_STARTS) and (held.terms is not None or not sent):
+        # A written index is read by whole terms; heads of words that are dealt would bring too many places together.
+        begun = prefix_terms(posts if held.terms is None else held.terms, single.where("begins").select(F.col("word").alias("start"))).select(F.col("start").alias("word"), F.lit(True).alias("begins"), "term")
+        known = single.where("NOT begins").withColumn("term", F.col("word")).unionByName(begun)
+        places = posts.join(known, "term")
+    else:
+        places = with_words(posts, single, bool(starts), sent)
+    places = places.select("word", "begins", *KEY, "n_terms", "col", "pos")
+    places = by_chunk(places, posts).join(F.broadcast(word), ["word", "begins"]) if sent else by_chunk(places.join(word, ["word", "begins"]), posts)
+    places = places.where(F.array_contains("columns", F.col("col"))).withColumn("start", F.col("pos") - F.col("at"))
     # A phrase stands where all its words do, one after another in one column; a word is a phrase of one.
-    start = (F.col("pos") - F.col("at")).alias("start")
-    found = places.groupBy("q", "is_prefix", *KEY, "n_terms", "col", "size", start).agg(F.count("*").alias("n")).where("n = size")
+    found = places.groupBy("q", *KEY, "n_terms", "col", "size", "start").agg(F.count("*").alias("n")).where("n = size")
     table = F.create_map(*[x for c in WEIGHTS for x in (F.lit(c), F.lit(float(params.weight(c))))])
-    return found.groupBy("q", "is_prefix", *KEY, "n_terms").agg(F.sum(F.element_at(table, F.col("col"))).alias("f"))
+    return found.groupBy("q", *KEY, "n_terms").agg(F.sum(F.element_at(table, F.col("col"))).alias("f")).withColumn("is_prefix", F.lit(False))
 
 
 def counting(program: Column, absent: Column, held: Column) -> Column:
@@ -227,33 +233,44 @@ def counting(program: Column, absent: Column, held: Column) -> Column:
     return F.coalesce(F.get(F.aggregate(program, stack, step), F.lit(0)), none)
 
 
-def evaluate(held: Index, parsed: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
-    """(qid, document_id, chunk_no, rank) of the chunks for which each parsed expression holds; rank as of ``search.scores``."""
+def evaluate(held: Index, parsed: DataFrame, params: SearchParams = SearchParams(), places: int = 12) -> DataFrame:
+    """(qid, document_id, chunk_no, rank) of the chunks for which each parsed expression holds; rank as of ``search.scores``, rounded once, to ``places``."""
     leaves = _leaves(parsed)
+    few = leaves.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    if few:
+        # Places carry a number, not the text of their leaf.
+        numbers = leaves.select("q").distinct().select("q", F.row_number().over(Window.orderBy("q")).alias("no"))
+        leaves = leaves.join(F.broadcast(numbers), "q").drop("q").withColumnRenamed("no", "q")
+    sent = F.broadcast if few else lambda x: x
     wanted = leaves.select("qid", "leaf", "q")
-    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    each = bm25(_match(held, leaves, params), held.corpus, params, few).select("q", *KEY, "part")
-    mask = F.bit_or(F.when(F.col("leaf") < TOLD, F.call_function("shiftleft", F.lit(1), F.col("leaf"))).otherwise(0)).alias("mask")
-    met = each.join(F.broadcast(wanted) if few else wanted, "q").groupBy("qid", *KEY).agg(F.map_from_entries(F.collect_list(F.struct("leaf", "part"))).alias("parts"), mask)
+    each = bm25(_match(held, leaves, params, few), held.corpus, params, few).select("q", *KEY, "part")
     absent = leaves.groupBy("qid").agg(F.collect_list(F.when(F.size("words") == 0, F.col("leaf"))).alias("absent"))
     programs = parsed.select("qid", "program", F.size("leaves").alias("n")).join(absent, "qid")
-    # The program of an expression of few leaves runs once for each set of them, not for each chunk.
+    most = parsed.agg(F.max(F.size("leaves"))).first()[0] or 0
+    # The program of an expression of few leaves runs once for each set of them, not for each chunk, whose parts stay in columns.
     told = programs.where(F.col("n").between(1, TOLD)).withColumn("mask", F.explode(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.col("n")) - 1)))
     holds = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.call_function("getbit", F.col("mask"), i) == 1)
     told = told.select("qid", "mask", counting(F.col("program"), F.col("absent"), holds).alias("counts")).where(F.size("counts") > 0)
-    run = met.join(F.broadcast(told) if few else told, ["qid", "mask"]).select("qid", *KEY, "parts", "counts")
-    if (most := parsed.agg(F.max(F.size("leaves"))).first()[0]) is not None and most > TOLD:
+    at = range(min(most, TOLD))
+    told = told.select("qid", "mask", *[F.array_contains("counts", i).alias(f"counts{i}") for i in at])
+    short = wanted.join(programs.where(F.col("n") <= TOLD).select("qid"), "qid", "left_semi") if most > TOLD else wanted
+    mask = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("leaf"))).alias("mask")
+    # A chunk has a leaf once, so a sum is its part.
+    met = each.join(sent(short), "q").groupBy("qid", *KEY).agg(mask, *[F.sum(F.when(F.col("leaf") == i, F.col("part"))).alias(f"part{i}") for i in at])
+    total = reduce(add, [F.when(F.col(f"counts{i}"), F.col(f"part{i}")).otherwise(0.0) for i in at], F.lit(0.0))
+    run = met.join(sent(told), ["qid", "mask"]).select("qid", *KEY, total.alias("total"))
+    if most > TOLD:
         long = programs.where(F.col("n") > TOLD).drop("n")
-        each = met.drop("mask").join(F.broadcast(long) if few else long, "qid")
-        each = each.withColumn("counts", counting(F.col("program"), F.col("absent"), F.map_keys("parts"))).where(F.size("counts") > 0)
-        run = run.unionByName(each.select(run.columns))
-    total = F.aggregate("counts", F.lit(0.0), lambda s, x: s + F.element_at("parts", x))
-    return run.select("qid", *KEY, F.round(-total, 12).alias("rank"))
+        met = each.join(sent(wanted.join(long.select("qid"), "qid", "left_semi")), "q").groupBy("qid", *KEY).agg(F.map_from_entries(F.collect_list(F.struct("leaf", "part"))).alias("parts"))
+        counts = met.join(sent(long), "qid").withColumn("counts", counting(F.col("program"), F.col("absent"), F.map_keys("parts"))).where(F.size("counts") > 0)
+        total = F.aggregate("counts", F.lit(0.0), lambda s, x: s + F.element_at("parts", x))
+        run = run.unionByName(counts.select("qid", *KEY, total.alias("total")))
+    return run.select("qid", *KEY, F.round(-F.col("total"), places).alias("rank"))
 
 
-def search_expressions(held: Index, queries: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
+def search_expressions(held: Index, queries: DataFrame, params: SearchParams = SearchParams(), places: int = 12) -> DataFrame:
     """``evaluate`` for ``queries`` (qid, query)."""
-    return evaluate(held, parse(queries), params)
+    return evaluate(held, parse(queries), params, places)
 
 
 def errors(queries: DataFrame) -> DataFrame:

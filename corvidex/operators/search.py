@@ -126,6 +126,7 @@ def compile_queries(queries: DataFrame, params: SearchParams = SearchParams(), a
 
 
 FEW = 1000  # query terms that go into a filter of the postings' scan
+FEW_STARTS = 8  # prefixes that go into it, or are compared with each place one by one
 BROADCAST_TERMS = 200_000  # rows of queries' terms that are sent to every task
 SPREAD = 32  # partitions for each one of the postings' scan, in which chunks meet terms and queries
 
@@ -160,6 +161,24 @@ def with_starts(posts: DataFrame, starts: Sequence[str]) -> DataFrame:
     return posts.select("*", F.explode(held).alias("start"))
 
 
+def with_words(posts: DataFrame, words: DataFrame, starts: bool = True, sent: bool = True) -> DataFrame:
+    """``posts`` with the columns of each of ``words`` (word, begins, ...) that is their term or, if it ``begins``, starts it.
+
+    One scan and one equality join for both: a place has its term, and the letters
+    as many as the shortest of the ``starts`` has, under which it meets few of them.
+    """
+    if not starts:
+        at, keys = words.where("NOT begins").withColumn("key", F.col("word")), F.array(F.struct(F.lit(False).alias("begins"), F.col("term").alias("key")))
+    else:
+        shortest = F.broadcast(words.where("begins").agg(F.min(F.length("word")).alias("shortest")))  # one row
+        at = words.join(shortest).withColumn("key", F.when(F.col("begins"), F.left("word", F.col("shortest"))).otherwise(F.col("word"))).drop("shortest")
+        posts = posts.join(shortest)
+        keys = F.array(F.struct(F.lit(False).alias("begins"), F.col("term").alias("key")), F.struct(F.lit(True).alias("begins"), F.left("term", F.col("shortest")).alias("key")))
+    each = posts.withColumn("x", F.explode(keys)).select(*[c for c in posts.columns if c != "shortest"], "x.begins", "x.key")
+    met = each.join(F.broadcast(at) if sent else at, ["begins", "key"])
+    return met.where(~F.col("begins") | F.startswith("term", "word")).drop("key")
+
+
 def match(posts: DataFrame, units: DataFrame, params: SearchParams = SearchParams(), starts: Sequence[str] | None = None, phrases: bool = True, terms: DataFrame | None = None) -> DataFrame:
     """(q, is_prefix, document_id, chunk_no, n_terms, f): the weighted frequency of each term, prefix or phrase in each chunk.
 

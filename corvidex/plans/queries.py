@@ -179,8 +179,7 @@ def search_expressions(spark, sf_dir):
     t = tx.index_tokens(F.col("text"))
     form = F.format_string('("%s %s" OR %s) AND (text : %s OR %s*) NOT %s', *[F.get(t, i) for i in range(6)])
     queries = corpus.table(spark, sf_dir, "benchmark").where(F.size(t) >= 6).select(F.col("item_id").alias("qid"), form.alias("query"))
-    found = expressions.search_expressions(s.index(corpus.chunks(spark, sf_dir)), queries)
-    return found.select("qid", "document_id", "chunk_no", F.round("rank", 9).alias("rank"))
+    return expressions.search_expressions(s.index(corpus.chunks(spark, sf_dir)), queries, places=9).select("qid", "document_id", "chunk_no", "rank")
 
 
 @_query(f"WITH {_DOCS}, {_CHUNKS}, {_POSTS} SELECT category, count(*) AS n FROM docs WHERE document_id IN (SELECT document_id FROM posts WHERE term = 'attion') GROUP BY ALL")

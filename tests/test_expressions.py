@@ -1,6 +1,7 @@
 """Boolean expressions and accents against SQLite's full-text index."""
 
 import random
+import re
 import sqlite3
 
 import pytest
@@ -127,3 +128,27 @@ def test_folding_equals_sqlite(spark):
     got = {r.i: r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", tx.index_tokens(F.col("x")).alias("t")).collect()}
     odd = {texts[i]: (got[i], want.get(i)) for i in got if got[i] != want.get(i, [])}
     assert len(odd) <= 12, odd  # letters that newer Unicode versions know, or that fold otherwise there
+
+
+def test_ranks_are_rounded_once(spark, monkeypatch):
+    """A rank whose twelfth place rounds up to a half stays below it at nine places."""
+    from pyspark.sql import functions as F
+
+    part = 1.0000000014999996
+    monkeypatch.setattr(ex, "bm25", lambda matched, *_: matched.select("q", *s.KEY, F.lit(part).alias("part")))
+    rows, chunks = chunks_of(spark)
+    queries = spark.createDataFrame([(0, "alpha")], "qid long, query string")
+    assert {r["rank"] for r in ex.search_expressions(s.index(chunks), queries, places=9).collect()} == {-1.000000001}
+
+
+def test_many_prefixes_meet_each_place_by_their_first_letters(spark):
+    """No place is compared with all prefixes, and places are read by one scan."""
+    rows, chunks = chunks_of(spark)
+    words = spark.createDataFrame([(w, b, w) for w, b in [("alpha", False), ("nosuch", False), *((f"al{x}", True) for x in ["", "p", "q", *map(str, range(40))])]], "word string, begins boolean, q string")
+    met = s.with_words(s.postings(chunks), words)
+    want = sorted((r.term, q) for r in s.postings(chunks).collect() for q in ("al", "alp") if r.term.startswith(q))
+    want += [(r.term, "alpha") for r in s.postings(chunks).where("term = 'alpha'").collect()]
+    assert sorted((r.term, r.q) for r in met.collect()) == sorted(want) != []
+    queries = spark.createDataFrame([(i, f"al{x}* OR ecole") for i, x in enumerate(["", "p", "q", *range(40)])], "qid long, query string")
+    plan = ex.search_expressions(s.index(chunks), queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"StartsWith\(term#\d+, word#\d+\)", plan) and not re.search(r"StartsWith\(term#\d+, al", plan)
