@@ -17,9 +17,13 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add, or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvidex.functions import fixed, text as tx
+from corvidex.operators import ranking
 
 KEY = ["document_id", "chunk_no"]
 
@@ -254,6 +258,27 @@ def scores(each: DataFrame, terms: DataFrame, by: Sequence[str] = ()) -> DataFra
     return each.join(wanted, ["q", "is_prefix"]).groupBy("qid", *KEY, *by).agg(F.round(-exact_sum("part"), 12).alias("rank"))
 
 
+def best(each: DataFrame, allowed: DataFrame, wanted: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """``scores`` of the ``allowed`` chunks that may be among a query's first ``k``: every one of those, ties included, and few others.
+
+    All chunks are summed up for all queries ``wanted`` (qid, q, is_prefix), which
+    are sent to every task; a task leaves out what is behind its own first ``k``.
+    """
+    rows = [tuple(r) for r in wanted.select("qid", "q", "is_prefix").collect()]
+    number = {t: i for i, t in enumerate(sorted({r[1:] for r in rows}))}
+    qids = sorted({r[0] for r in rows})
+    place = {q: i for i, q in enumerate(qids)}
+    pairs = np.array(sorted((number[r[1:]], place[r[0]]) for r in rows), dtype=np.int64)
+    numbers = each.sparkSession.createDataFrame([(*t, i) for t, i in number.items()], "q string, is_prefix boolean, no long")
+    # Chunks that aren't allowed are left out behind the join, so that filters stay out of the scan, which then is shared with the frequencies'.
+    told = each.join(F.broadcast(numbers), ["q", "is_prefix"]).join(allowed.select(*KEY, *by, F.lit(True).alias("allowed")), KEY, "left")
+    told = told.select(*KEY, *by, "no", "part", "allowed").sortWithinPartitions(*KEY)
+    kinds = {f.name: f.dataType.simpleString() for f in [*told.schema.fields, wanted.schema["qid"]]}
+    run = ranking.first_sums(KEY, [*KEY, *by], pairs, pa.array(qids, to_arrow_type(wanted.schema["qid"].dataType)), k)
+    found = told.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in ["qid", *KEY, *by]) + ", score double")
+    return found.select("qid", *KEY, *by, F.round(-F.col("score"), 12).alias("rank"))
+
+
 @dataclass(frozen=True)
 class Filters:
     category: str | None = None
@@ -303,8 +328,14 @@ def search(chunks: DataFrame, documents: DataFrame, terms: DataFrame, filters: F
     """Ranked, capped hits of every query, with the chunk's and the document's columns; ``held`` is a written index of ``chunks``."""
     about = documents.select("document_id", "source_path", "category", "document_date")
     allowed = apply_filters(chunks.select(*KEY, "kind", "section_path").join(about, "document_id"), filters).select(*KEY, "kind", "document_date")
-    each = parts(held or index(chunks), terms, params).join(allowed, KEY)
-    top = rank_results(scores(each, terms, ("kind", "document_date")), params)
+    each = parts(held or index(chunks), terms, params)
+    wanted = terms.select("qid", F.col("term").alias("q"), "is_prefix").distinct()
+    by = ["kind", "document_date"]
+    if FEW < wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        hits = best(each, allowed, wanted, params.prelimit, by)
+    else:
+        hits = scores(each.join(allowed, KEY), terms, by)
+    top = rank_results(hits, params)
     rest = chunks.select(*KEY, *[c for c in chunks.columns if c not in (*KEY, "kind")])
     return top.join(rest, KEY).join(about.drop("document_date"), "document_id")
 
