@@ -35,10 +35,12 @@ def sums(no: np.ndarray, part: np.ndarray, chunk: np.ndarray, begin: np.ndarray,
 
 def among_first(query: np.ndarray, score: np.ndarray, k: int, floor: np.ndarray) -> np.ndarray:
     """Which rows may be among their query's first ``k``, ties included; raises ``floor``, each query's k-th score as far as known."""
-    order = np.lexsort((-score, query))
-    first = np.searchsorted(query[order], np.arange(len(floor) + 1))
-    full = first[:-1] + k <= first[1:]
-    floor[full] = np.maximum(floor[full], score[order[first[:-1][full] + k - 1]])
+    # Small numbers are sorted in a few passes; scores only need their k-th one.
+    order = np.argsort(query.astype(np.uint16) if len(floor) <= 1 << 16 else query, kind="stable")
+    first, ordered = np.searchsorted(query[order], np.arange(len(floor) + 1)), score[order]
+    for q in np.flatnonzero(first[:-1] + k <= first[1:]):
+        own = ordered[first[q] : first[q + 1]]
+        floor[q] = max(floor[q], np.partition(own, len(own) - k)[len(own) - k])
     return score >= floor[query] - NEAR
 
 
